@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, chat, chunks, licences, quality, simhash, url_lists
+from . import bitplanes, chat, chunks, licences, mixing, packing, quality, simhash, suffixes, url_lists
 
 QUERIES = {
     "op1_licences": licences.query,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_url_lists": url_lists.query,
     "op4_quality": quality.query,
     "op5_simhash": simhash.query,
+    "op6_suffixes": suffixes.query,
+    "op7_mixing": mixing.query,
     "op8_chat": chat.query,
+    "op9_packing": packing.query,
     "op10_chunks": chunks.query,
 }
 SQL = {
