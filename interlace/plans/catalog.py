@@ -1,6 +1,13 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""All queries of the library by name; importing the operator modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import importlib
+
+from .registry import QUERIES, SQL
+
+MODULES = ("interlace.operators.stats",)
+for name in MODULES:
+    importlib.import_module(name)
+
+__all__ = ["QUERIES", "SQL"]
