@@ -58,6 +58,8 @@ def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         "NO",
     )
+    # Every seventh supplier's confidence runs against the verdict, so that the checks have something to find.
+    confidence = F.floor(F.least(F.col("l_quantity") * 2 + F.col("l_linenumber"), F.lit(100.0))).cast("int")
     quarter = F.col("l_linenumber") % 4
     reason = chain(
         [(quarter == 0, F.concat(F.lit("Shared OEM reference AB"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))), (quarter == 1, "no match found, different category"), (quarter == 2, "similar description and specs")],
@@ -72,7 +74,7 @@ def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SK"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("skp_part_number"),
         F.col("l_quantity").alias("call12"),
         verdict.alias("match_result"),
-        F.when(F.col("l_linenumber") != 7, F.floor(F.least(F.col("l_quantity") * 2 + F.col("l_linenumber"), F.lit(100.0))).cast("int")).alias("confidence"),
+        F.when(F.col("l_linenumber") != 7, F.when(F.col("l_suppkey") % 7 == 0, 100 - confidence).otherwise(confidence)).alias("confidence"),
         reason.alias("match_reason"),
         chain([(F.col("l_linenumber") % 3 == 0, "YES"), (F.col("l_linenumber") % 3 == 1, "NO")], "UNKNOWN").alias("fitment_match"),
         chain([(F.col("l_suppkey") % 3 == 0, "YES"), (F.col("l_suppkey") % 3 == 1, "PARTIAL")], "NO").alias("desc_match"),
@@ -104,7 +106,7 @@ WITH m AS (SELECT CASE l.l_suppkey % 5 WHEN 0 THEN 'GMB' WHEN 1 THEN 'Four Seaso
   l.l_quantity AS call12,
   CASE WHEN l.l_returnflag = 'N' AND l.l_linestatus = 'O' AND l.l_linenumber = 1 THEN '' WHEN l.l_quantity >= 40 THEN 'YES' WHEN l.l_quantity >= 30 THEN 'LIKELY'
        WHEN l.l_quantity >= 18 THEN 'UNCERTAIN' ELSE 'NO' END AS match_result,
-  CASE WHEN l.l_linenumber <> 7 THEN CAST(floor(least(l.l_quantity * 2 + l.l_linenumber, 100)) AS INT) END AS confidence,
+  CASE WHEN l.l_linenumber = 7 THEN NULL WHEN l.l_suppkey % 7 = 0 THEN 100 - CAST(floor(least(l.l_quantity * 2 + l.l_linenumber, 100)) AS INT) ELSE CAST(floor(least(l.l_quantity * 2 + l.l_linenumber, 100)) AS INT) END AS confidence,
   CASE l.l_linenumber % 4 WHEN 0 THEN 'Shared OEM reference AB' || lpad(CAST(l.l_partkey AS VARCHAR), 6, '0') WHEN 1 THEN 'no match found, different category'
        WHEN 2 THEN 'similar description and specs' ELSE '' END AS match_reason,
   CASE l.l_linenumber % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'UNKNOWN' END AS fitment_match,
