@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = tuple(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scoring"))
+MODULES = tuple(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scoring", "quality", "validation"))
 for name in MODULES:
     importlib.import_module(name)
 
