@@ -210,22 +210,26 @@ def parse(template: str) -> list:
 
 def merge_text(nodes: list) -> list:
     """Neighbouring constant texts become one; branches with a constant condition are chosen."""
-    out: list = []
+    flat: list = []
     for node in nodes:
         match node:
             case ("for", var, name, body):
-                node = ("for", var, name, merge_text(body))
+                flat.append(("for", var, name, merge_text(body)))
             case ("gen", body):
-                node = ("gen", merge_text(body))
+                flat.append(("gen", merge_text(body)))
             case ("if", cases, orelse):
-                cases = [(c, merge_text(b)) for c, b in cases if c[0] != "const" or c[1]]
+                cases = [(c, b) for c, b in cases if c[0] != "const" or c[1]]
                 sure = next((i for i, (c, _) in enumerate(cases) if c[0] == "const"), None)
                 if sure is not None:
                     cases, orelse = cases[:sure], cases[sure][1]
-                node = ("if", cases, merge_text(orelse))
-                if not cases:
-                    out += node[2]
-                    continue
+                if cases:
+                    flat.append(("if", [(c, merge_text(b)) for c, b in cases], merge_text(orelse)))
+                else:
+                    flat += merge_text(orelse)
+            case _:
+                flat.append(node)
+    out: list = []
+    for node in flat:
         if node[0] == "text" and out and out[-1][0] == "text":
             out[-1] = ("text", out[-1][1] + node[1])
         else:
