@@ -120,8 +120,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_late_events_are_dropped(spark, tmp_path):
-    """The second file brings an event behind the watermark of the first; the third closes the windows."""
-    for i, times in enumerate((["2024-01-01 00:10", "2024-01-01 03:00"], ["2024-01-01 00:20", "2024-01-01 02:55"], ["2024-01-02 00:00"])):
+    """The third file brings an event of an hour that the watermark closed before; the fourth closes the rest."""
+    for i, times in enumerate((["2024-01-01 00:10", "2024-01-01 03:00"], ["2024-01-01 02:55"], ["2024-01-01 00:20"], ["2024-01-02 00:00"])):
         spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/f={i}")
     stream = spark.readStream.schema("ts timestamp, f int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     counts = stream.withWatermark("ts", "30 minutes").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
