@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = (*(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scoring", "quality", "validation", "monitoring", "extraction")), "interlace.streaming.windows")
+MODULES = (*(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scoring", "quality", "validation", "monitoring", "extraction", "ingest")), "interlace.streaming.windows")
 for name in MODULES:
     importlib.import_module(name)
 

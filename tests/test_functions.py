@@ -136,3 +136,18 @@ def test_state_is_bounded(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/e")
     r = W.drain(W.anomaly_stream(stream)).first()
     assert (r.samples, r.recent, r.dropped) == (1000, 10.0, True)
+
+
+def test_tables_are_made_and_widened(spark):
+    from interlace.operators import ingest
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS interchange_t")
+    spark.sql("CREATE TABLE interchange_t.site_configs (site_name STRING) USING parquet")
+    try:
+        for _ in range(2):
+            ingest.create_tables(spark, "interchange_t")
+        assert spark.table("interchange_t.site_configs").columns == ["site_name", "is_active", "rate_limit_delay", "success_rate"]
+        assert len(spark.catalog.listTables("interchange_t")) == len(ingest.TABLES)
+        assert ingest.ask(spark, "SELECT :a || 'x' AS v", a="1' OR '1").first().v == "1' OR '1x"
+    finally:
+        spark.sql("DROP DATABASE interchange_t CASCADE")
