@@ -179,3 +179,47 @@ def site_seed(spark: SparkSession, sf: str) -> DataFrame:
     """Site settings with one of them updated for some sites, active sites only."""
     rows = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("active"), F.lit(1.0).alias("delay"), "s_nationkey")
     return rows.withColumn("delay", F.when(F.col("s_nationkey") == 7, 2.0).otherwise(F.col("delay"))).filter("active").drop("s_nationkey")
+
+
+@register("trend_block", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_orderkey % 50) AS volume, avg((o_orderkey % 50) / ((30.0::DOUBLE + o_orderkey % 600) / 3600)) FILTER (WHERE o_orderkey % 50 > 0) AS speed FROM orders GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, row_number() OVER (ORDER BY day DESC) AS back FROM d) SELECT CAST(sum(volume) AS BIGINT) AS total, round(avg(volume), 6) AS mean_volume, round(regr_slope(volume, i), 6) AS volume_slope, round(avg(speed), 4) AS mean_speed, round(avg(volume) FILTER (WHERE back <= 7), 6) AS last_week, round((avg(volume) FILTER (WHERE back <= 3) - avg(volume) FILTER (WHERE i < 3)) / nullif(avg(volume) FILTER (WHERE i < 3), 0) * 100, 6) AS improvement FROM x")
+def trend_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Sum, mean and slope of the daily volume, mean speed, last week, improvement; the window runs over days."""
+    speed = F.when(F.col("rows_processed") > 0, F.col("rows_processed") / (F.col("duration_seconds") / 3600))
+    d = sessions(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.sum("rows_processed").alias("volume"), F.avg(speed).alias("speed"))
+    x = d.withColumns({"i": F.row_number().over(Window.orderBy("day")) - 1, "back": F.row_number().over(Window.orderBy(F.desc("day")))})
+    v = F.col("volume")
+    first, last = F.avg(F.when(F.col("i") < 3, v)), F.avg(F.when(F.col("back") <= 3, v))
+    return x.agg(F.sum(v).alias("total"), F.round(F.avg(v), 6).alias("mean_volume"), F.round(F.regr_slope(v, F.col("i")), 6).alias("volume_slope"), F.round(F.avg("speed"), 4).alias("mean_speed"), F.round(F.avg(F.when(F.col("back") <= 7, v)), 6).alias("last_week"), F.round(F.try_divide(last - first, first) * 100, 6).alias("improvement"))
+
+
+@register("running_success", "WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END AS ok FROM orders) SELECT o_orderkey AS session, row_number() OVER w AS n, round(avg(ok) OVER w, 6) AS success_rate, round(least(row_number() OVER w / 100.0::DOUBLE, 1), 6) AS confidence FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def running_success(spark: SparkSession, sf: str) -> DataFrame:
+    """Success rate so far of each brand (here: customer) and how far it can be trusted."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count("*").over(w)
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("session"), n.alias("n"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).over(w), 6).alias("success_rate"), F.round(F.least(n / 100.0, F.lit(1.0)), 6).alias("confidence"))
+
+
+@register("batch_statistics", "WITH b AS (SELECT o_custkey AS batch, o_orderkey, o_orderdate, 10.0::DOUBLE + o_orderkey % 90 AS seconds, 1 + o_orderkey % 25 AS items, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS success FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY o_orderdate DESC, o_orderkey DESC) AS back, items / (seconds / 60) AS speed FROM b), s AS (SELECT batch, round(avg(speed), 6) AS items_per_minute, round(least(1, avg(speed) / 10 * avg(success)), 6) AS efficiency, avg(speed) FILTER (WHERE back <= 5) AS late, avg(speed) FILTER (WHERE back > 5) AS early FROM r WHERE back <= 10 GROUP BY 1) SELECT batch, items_per_minute, efficiency, CASE WHEN late > 1.1::DOUBLE * early THEN 'improving' WHEN late < 0.9::DOUBLE * early THEN 'declining' ELSE 'stable' END AS trend FROM s")
+def batch_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Speed, efficiency and trend of the last ten runs of each batch queue."""
+    k = F.col("o_orderkey")
+    back = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), ((1 + k % 25) / ((10.0 + k % 90) / 60)).alias("speed"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.5).alias("success"), back.alias("back")).filter("back <= 10")
+    late, early = F.avg(F.when(F.col("back") <= 5, F.col("speed"))), F.avg(F.when(F.col("back") > 5, F.col("speed")))
+    return rows.groupBy("batch").agg(F.round(F.avg("speed"), 6).alias("items_per_minute"), F.round(F.least(F.lit(1.0), F.avg("speed") / 10 * F.avg("success")), 6).alias("efficiency"), chain([(late > 1.1 * early, "improving"), (late < 0.9 * early, "declining")], "stable").alias("trend"))
+
+
+@register("retention", "SELECT o_orderkey AS task, o_orderstatus = 'O' OR o_orderdate >= TIMESTAMP '2000-01-01' - INTERVAL 7 DAY AS kept FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'")
+def retention(spark: SparkSession, sf: str, days: int = 7) -> DataFrame:
+    """Finished tasks are kept for seven days, open ones until they are done."""
+    now = F.lit("2000-01-01").cast("timestamp_ntz")
+    kept = (F.col("o_orderstatus") == "O") | (F.col("o_orderdate") >= now - F.make_dt_interval(F.lit(days)))
+    return read(spark, sf, "orders").filter(F.col("o_orderdate") < now).select(F.col("o_orderkey").alias("task"), kept.alias("kept"))
+
+
+@register("daily_limit_days", _CALLS + ", t AS (SELECT day, sum(cost) AS cost, count(*) AS calls FROM d GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS days, CAST(count_if(cost >= 0.02) AS BIGINT) AS days_over, round(max(cost), 6) AS highest, round(avg(cost), 6) AS mean FROM t")
+def daily_limit_days(spark: SparkSession, sf: str, limit: float = 0.02) -> DataFrame:
+    """On how many days the cost limit was reached."""
+    per_day = calls(spark, sf).groupBy("day").agg(F.sum("cost").alias("cost"))
+    return per_day.agg(F.count("*").alias("days"), F.count_if(F.col("cost") >= limit).alias("days_over"), F.round(F.max("cost"), 6).alias("highest"), F.round(F.avg("cost"), 6).alias("mean"))

@@ -32,3 +32,17 @@ def snapshot(df: DataFrame, path: str, stamp: str) -> str:
     target = f"{path}/{stamp}"
     df.write.mode("error").parquet(target)
     return target
+
+
+def append_metrics(df: DataFrame, path: str) -> None:
+    """Samples as JSON lines, appended."""
+    df.write.mode("append").json(path)
+
+
+def load_metrics(spark, path: str, schema: str, keep: int, order: str = "ts", by: str = "metric_name") -> DataFrame:
+    """The newest `keep` samples of each metric; the schema is given, not guessed."""
+    from pyspark.sql.window import Window
+
+    rows = spark.read.schema(schema).json(path)
+    newest = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
+    return rows.withColumn("__n", newest).filter(F.col("__n") <= keep).drop("__n")

@@ -151,3 +151,10 @@ def test_tables_are_made_and_widened(spark):
         assert ingest.ask(spark, "SELECT :a || 'x' AS v", a="1' OR '1").first().v == "1' OR '1x"
     finally:
         spark.sql("DROP DATABASE interchange_t CASCADE")
+
+
+def test_metrics_keep_the_newest(spark, tmp_path):
+    ddl = "ts long, metric_name string, value double"
+    for lo in (0, 10):
+        sinks.append_metrics(spark.createDataFrame([(i, "cpu", float(i)) for i in range(lo, lo + 10)], ddl), f"{tmp_path}/m")
+    assert sorted(r.ts for r in sinks.load_metrics(spark, f"{tmp_path}/m", ddl, 3).collect()) == [17, 18, 19]
