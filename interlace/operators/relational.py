@@ -77,7 +77,7 @@ def baseline_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("period_compare", f"WITH o AS (SELECT o_totalprice, CASE WHEN o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN 1 ELSE 0 END AS recent FROM orders WHERE o_orderdate >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY AND o_orderdate < TIMESTAMP '{AS_OF}') SELECT CAST(count_if(recent = 1) AS BIGINT) AS n_recent, CAST(count_if(recent = 0) AS BIGINT) AS n_older, round(avg(o_totalprice) FILTER (WHERE recent = 1), 4) AS mean_recent, round(avg(o_totalprice) FILTER (WHERE recent = 0), 4) AS mean_older, round(avg(o_totalprice) FILTER (WHERE recent = 1) - avg(o_totalprice) FILTER (WHERE recent = 0), 4) AS change FROM o")
 def period_compare(spark: SparkSession, sf: str, days: int = 30) -> DataFrame:
-    """A period against the one before it; the periods do not overlap."""
+    """A period against the one before it; the periods do not overlap."""
     now = F.lit(AS_OF).cast("timestamp_ntz")
     age = F.make_dt_interval(F.lit(days))
     o = read(spark, sf, "orders").filter((F.col("o_orderdate") >= now - age - age) & (F.col("o_orderdate") < now))
@@ -266,3 +266,38 @@ def completion_gaps(spark: SparkSession, sf: str) -> DataFrame:
     spine = rows.select("category").distinct().select("category", verdicts)
     counts = rows.groupBy("category", "match_result").agg(F.count("*").alias("n"))
     return spine.join(counts, ["category", "match_result"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+@register("point_lookup", "SELECT p_partkey AS part, p_name AS name, p_brand AS brand FROM part WHERE p_partkey = 77")
+def point_lookup(spark: SparkSession, sf: str, part: int = 77) -> DataFrame:
+    """one part by its number; the predicate reaches the scan."""
+    return read(spark, sf, "part").filter(F.col("p_partkey") == part).select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).limit(1)
+
+
+@register("latest_logs", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
+def latest_logs(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
+    """The newest log rows."""
+    return read(spark, sf, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+
+
+@register("least_loaded", "SELECT arg_min(user_id, (n, user_id)) AS session, min(n) AS calls FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1)")
+def least_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The session with the fewest calls, the first of several."""
+    load = read(spark, sf, "events").filter("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
+    return load.agg(F.min_by("user_id", F.struct("n", "user_id")).alias("session"), F.min("n").alias("calls"))
+
+
+@register("quality_gate", WITH + "SELECT row_number, part_number, skp_part_number, coalesce(confidence >= 80 AND match_result IN ('YES', 'LIKELY', 'UNCERTAIN', 'NO') AND NOT contains(match_reason, 'error'), false) AS passes FROM m")
+def quality_gate(spark: SparkSession, sf: str, least: int = 80) -> DataFrame:
+    """results without an error, with a valid verdict and a confidence of 80 of 100 or more; the others are retried."""
+    ok = (F.col("confidence") >= least) & F.col("match_result").isin(*VERDICTS) & ~F.col("match_reason").contains("error")
+    return match_rows(spark, sf).select("row_number", "part_number", "skp_part_number", F.coalesce(ok, F.lit(False)).alias("passes"))
+
+
+@register("fitment_text", "SELECT p_brand AS brand, substr(array_to_string(list_sort(list(DISTINCT (1990 + p_size % 20) || '-' || (1991 + p_size % 20) || ' ' || upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2))), '; '), 1, 200) AS fits FROM part GROUP BY 1")
+def fitment_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Vehicles of a brand's parts as distinct texts, cut to 200 characters."""
+    y = 1990 + F.col("p_size") % 20
+    text = F.concat(y.cast("string"), F.lit("-"), (y + 1).cast("string"), F.lit(" "), F.initcap(F.split("p_name", " ")[0]))
+    rows = read(spark, sf, "part").select(F.col("p_brand").alias("brand"), text.alias("t"))
+    return rows.groupBy("brand").agg(F.substring(F.array_join(F.sort_array(F.collect_set("t")), "; "), 1, 200).alias("fits"))

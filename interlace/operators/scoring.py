@@ -15,7 +15,7 @@ TOLERANCE, RATIO = 0.08, 0.85
 
 
 def score_oem(a: Column, b: Column, residue: Column | None = None) -> Column:
-    """Shared references 1, shared base numbers .7, else `residue` (similar spelling, .5 or 0); .3 without references."""
+    """Shared references 1, shared base numbers .7, else `residue` (similar spelling, .5 or 0); .3 without references."""
     a, b = F.transform(a, X.normal_reference), F.transform(b, X.normal_reference)
     none = (F.size(a) <= 0) | (F.size(b) <= 0)
     same_base = F.arrays_overlap(F.transform(a, X.base_reference), F.transform(b, X.base_reference))
@@ -23,7 +23,7 @@ def score_oem(a: Column, b: Column, residue: Column | None = None) -> Column:
 
 
 def score_category(a: Column, b: Column) -> Column:
-    """Equal 1; shared words over the larger set: .8 from .75, .5 from .4, else 0; .3 if either is missing."""
+    """Equal 1; shared words over the larger set: .8 from .75, .5 from .4, else 0; .3 if either is missing."""
     left, right = X.words(a), X.words(b)
     overlap = F.try_divide(F.size(F.array_intersect(left, right)), F.greatest(F.size(left), F.size(right)))
     missing = F.coalesce(F.trim(a) == "", F.lit(True)) | F.coalesce(F.trim(b) == "", F.lit(True))
@@ -31,7 +31,7 @@ def score_category(a: Column, b: Column) -> Column:
 
 
 def score_description(a: Column, b: Column, part_type: Column) -> Column:
-    """Shared words of two texts, the part type added to both."""
+    """Shared words of two texts, the part type added to both."""
     extra = F.concat(F.lit(" "), F.coalesce(part_type, F.lit("")))
     left, right, kind = X.telling_words(F.concat(F.coalesce(a, F.lit("")), extra)), X.telling_words(F.concat(F.coalesce(b, F.lit("")), extra)), X.telling_words(part_type)
     j = X.jaccard(left, right)
@@ -59,7 +59,7 @@ def score_fitment(a: Column, b: Column, compat: bool = False) -> Column:
 
 
 def score_specs(a: Column, b: Column) -> Column:
-    """Matching over shared fields, numbers within eight per cent; .3 without shared fields, .4 without a table."""
+    """Matching over shared fields, numbers within eight per cent; .3 without shared fields, .4 without a table."""
     norm = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s+", " ").alias("key"), F.lower(F.trim(e["value"])).alias("value")))))
     left, right = norm(a), norm(b)
     shared = F.array_intersect(F.map_keys(left), F.map_keys(right))

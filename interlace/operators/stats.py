@@ -27,7 +27,7 @@ _RATES = f"{_PCT('confirmed', 'processed')} AS success_rate, {_PCT('uncertain',
 
 @register("verdict_rollup", WITH + f"SELECT coalesce(sheet_name, 'ALL') AS sheet_name, count(*) AS total, {', '.join(f'''CAST(count_if(match_result = '{v}') AS BIGINT) AS n_{v.lower()}''' for v in VERDICTS)}, CAST(count_if(match_result = '') AS BIGINT) AS n_blank, CAST(count_if(processed) AS BIGINT) AS processed FROM f GROUP BY ROLLUP (sheet_name)")
 def verdict_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdict counts by sheet with a grand total."""
+    """Verdict counts by sheet with a grand total."""
     rows = flagged(spark, sf).rollup("sheet_name").agg(F.count("*").alias("total"), *[n_if(f"match_result = '{v}'", f"n_{v.lower()}") for v in VERDICTS], n_if("match_result = ''", "n_blank"), n_if("processed", "processed"))
     return rows.withColumn("sheet_name", F.coalesce("sheet_name", F.lit("ALL")))
 
@@ -178,7 +178,7 @@ def summary_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("eligible_rows", WITH + "SELECT sheet_name, row_number, part_number, skp_part_number FROM f WHERE upper(trim(supplier)) = 'BRAND13' AND has_both AND (match_result = '' OR match_result = 'UNCERTAIN') AND row_number BETWEEN 100 AND 50000")
 def eligible_rows(spark: SparkSession, sf: str, supplier: str = "brand13 ") -> DataFrame:
-    """Work-queue scan: one supplier, both numbers, no final verdict yet, a range of rows."""
+    """Work-queue scan: one supplier, both numbers, no final verdict yet, a range of rows."""
     wanted = F.upper(F.trim("supplier")) == supplier.strip().upper()
     todo = F.col("match_result").isin("", "UNCERTAIN")
     return flagged(spark, sf).filter(wanted & F.col("has_both") & todo & F.col("row_number").between(100, 50000)).select("sheet_name", "row_number", "part_number", "skp_part_number")

@@ -39,7 +39,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def category_of(part_type: Column) -> Column:
-    """The first category with a keyword in the part type (upper case), else Other."""
+    """The first category with a keyword in the part type (upper case), else Other."""
     kind = F.upper(F.coalesce(part_type, F.lit("")))
     return chain([(F.greatest(*[kind.contains(w) for w in words]), name) for name, words in CATEGORIES.items()], "Other")
 
@@ -83,7 +83,7 @@ def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_rows with processed, confirmed, both parts present, and the category."""
+    """match_rows with processed, confirmed, both parts present, and the category."""
     result = F.col("match_result")
     return match_rows(spark, sf_dir).withColumns(
         {

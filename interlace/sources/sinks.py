@@ -46,3 +46,8 @@ def load_metrics(spark, path: str, schema: str, keep: int, order: str = "ts", by
     rows = spark.read.schema(schema).json(path)
     newest = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
     return rows.withColumn("__n", newest).filter(F.col("__n") <= keep).drop("__n")
+
+
+def append_rows(df: DataFrame, table: str) -> None:
+    """Sources and log rows are appended as they come; they have no key to be ignored by."""
+    df.write.mode("append").insertInto(table)

@@ -84,7 +84,7 @@ class XlsxReader(DataSourceReader):
 
 
 class XlsxDataSource(DataSource):
-    """Workbook source; options: path, columns, first_row, sheet."""
+    """Workbook source; options: path, columns, first_row, sheet."""
 
     @classmethod
     def name(cls) -> str:
