@@ -19,12 +19,14 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.97, "low": 0.03, "toxic": 0.0}
 #: Labelled rows that the classifier is fitted on at most (those with the least hashes), and hash buckets of words.
 MAX_LABELLED, BUCKETS = 20_000, 1 << 17
-#: Strength of the prior that a word says nothing, in occurrences.
-PRIOR = 5.0
+#: Strength of the prior that a word says nothing, in documents, and the log ratio from which a word counts at all.
+PRIOR, TELLING = 10.0, 1.0
 #: Gradient steps at most, and the relative error at which they end.
 STEPS, ENOUGH = 20, 1e-9
 #: Distance from its bound within which a rate counts as bound.
 NEAR = 0.1
+#: Posterior from which the pipeline takes a document for toxic.
+SURE = 0.9
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -33,15 +35,17 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def buckets_of(text: Column) -> Column:
-    """A bucket for each word (runs without white space, lower case)."""
+    """The distinct buckets of the words (runs without white space, lower case)."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
 
 
 def word_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[float]]:
     """(bucket, w0..w2) of log ratios and the log priors of the domains, from MAX_LABELLED labelled rows at most.
 
-    The table has BUCKETS rows at most, so it may be broadcast. Without labelled rows all weights are zero.
+    Words count once in a document. Only telling words have weights: those that some domain uses e times as often as its
+    share or more. Small differences, such as between languages, would else add up over a long text and outweigh them.
+    The table has BUCKETS rows at most, so it may be broadcast. Without labelled rows no word has a weight.
     """
     known = labels.select(F.col("doc_id").alias(key), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter(F.col(key).isNotNull() & F.col("domain").isNotNull())
     known = known.groupBy(key).agg(F.max("domain").alias("domain")).orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
@@ -54,7 +58,8 @@ def word_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     whole = max(1, sum(sums))
     n = sum((F.col(f"c{i}") for i in range(len(DOMAINS))), F.lit(0))
     weights = [F.log((F.col(f"c{i}") + PRIOR) / (n * (sums[i] / whole) + PRIOR)).alias(f"w{i}") for i in range(len(DOMAINS))]
-    return counts.select("bucket", *weights), priors
+    telling = F.greatest(*[f"w{i}" for i in range(len(DOMAINS))]) >= TELLING
+    return counts.select("bucket", *weights).filter(telling), priors
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,11 +69,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """
     d = range(len(DOMAINS))
     weights, priors = word_weights(docs, labels, key, text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), text_of(text).alias("text"))
-    rows = rows.select("row", key, F.explode_outer(buckets_of(F.col("text"))).alias("bucket"))
+    words = F.size(F.filter(F.split(text_of(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), words.cast("long").alias("n_tokens"), text_of(text).alias("text"))
+    rows = rows.select("row", key, "n_tokens", F.explode_outer(buckets_of(F.col("text"))).alias("bucket"))
     # All words of a row are in one task: they are summed before the shuffle.
     rows = rows.join(F.broadcast(weights), "bucket", "left").groupBy("row").agg(
-        F.first(key).alias(key), (F.count("bucket") + 1).alias("n_tokens"), *[(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) + priors[i]).alias(f"s{i}") for i in d]
+        F.first(key).alias(key), F.first("n_tokens").alias("n_tokens"), *[(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) + priors[i]).alias(f"s{i}") for i in d]
     )
     top = F.greatest(*[F.col(f"s{i}") for i in d])
     rows = rows.select("row", key, "n_tokens", *[F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in d])
@@ -161,9 +167,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = TARGETS,
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as their rate says (its fraction decided by a hash of the id), columns as they came.
 
-    Documents that are not mainly toxic keep one copy at least; what the classifier takes for toxic gets a rate of zero.
+    Documents that the classifier is not sure are toxic keep one copy at least; the others get a rate of zero or near it.
     """
-    rates = mix(docs, table(spark, sf_dir, "labels"), least=(F.col("p2") < 0.5).cast("double"))
+    rates = mix(docs, table(spark, sf_dir, "labels"), least=(F.col("p2") < SURE).cast("double"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
     times = rates.groupBy(F.col("doc_id").alias("__id")).agg(F.max("rate").alias("__rate")).filter("__rate > 0")
     rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__n", F.floor(F.col("__rate") + chance).cast("int")).filter("__n > 0")
