@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, materialise, table
-from .encode import Encoder
+from .encode import worker_encoder
 
 #: Ids in a block; the last block of a shard may have fewer. Texts are encoded in groups of about GROUP_CHARS characters.
 BLOCK_IDS, GROUP_CHARS = 1 << 16, 1 << 20
@@ -82,7 +82,7 @@ def write(docs: DataFrame, tokenizer: str, drops_space: bool = False, key: str =
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int32()), ("mode", pa.string()), ("planes", pa.list_(pa.binary())), ("doc_keys", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, drops_space)
+        encoder = worker_encoder(tokenizer, drops_space)
         shard, block, written = 0, 0, 0  # written: ids in earlier blocks of the shard
         waiting = bytearray()
         keys: list = []

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -15,7 +17,7 @@ import numpy as np
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _SEGMENT, _WORD = re.compile(r"\s*\S+|\s+", re.A), re.compile(r"\S+", re.A)
 #: Segments that a worker's cache holds at most before it starts again, and the longest that is kept (in characters).
-CACHE_SEGMENTS, CACHE_CHARS = 1_000_000, 60
+CACHE_SEGMENTS, CACHE_CHARS = 1_500_000, 60
 
 
 class Encoder:
@@ -55,12 +57,23 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for an empty or null one."""
         parts = [None if t is None or (not self.drops_space and _ODD.search(t)) else self.segments(t) for t in texts]
-        known = self.cache
-        missing = list({s for p in parts if p for s in p if s not in known})
+        known, missing = self.cache, set()
+        for p in parts:
+            if p:
+                missing |= set(p).difference(known)
+        if missing and len(known) + len(missing) > CACHE_SEGMENTS:  # what these texts need is kept beside the new cache
+            known = {s: known[s] for p in parts if p for s in p if s in known}
         if missing:
-            old = dict(known) if len(known) + len(missing) > CACHE_SEGMENTS else known
-            new = self._fill(missing)
-            lookup = {**{s: old[s] for p in parts if p for s in p if s in old}, **new} if old is not known or any(s not in known for s in new) else known
-        else:
-            lookup = known
-        return [b"" if not t else self.whole(t) if p is None else b"".join(map(lookup.__getitem__, p)) for t, p in zip(texts, parts)]
+            new = self._fill(list(missing))
+            if known is not self.cache or any(len(s) > CACHE_CHARS for s in new):
+                known = {**{s: known[s] for p in parts if p for s in p if s in known}, **new}
+        return [b"" if not t else self.whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts)]
+
+
+def worker_encoder(path: str, drops_space: bool) -> Encoder:
+    """The encoder of this worker process: Spark gives a process one task after another, and they find a warm cache."""
+    held = sys.modules.setdefault("interlace_worker_state", types.ModuleType("interlace_worker_state")).__dict__
+    key = ("encoder", path, drops_space)
+    if key not in held:
+        held[key] = Encoder(path, drops_space)
+    return held[key]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bitplanes import groups_of
 from .common import arrow_limits, table
-from .encode import Encoder
+from .encode import worker_encoder
 
 WINDOW, END_ID = 4096, 2
 #: Tokens of a shard at most (but for one longer document), query terms of a seed, and BM25's two parameters.
@@ -132,7 +132,7 @@ def encoded(docs: DataFrame, tokenizer: str, drops_space: bool, key: str, text:
     schema = pa.schema([("k", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, drops_space)
+        encoder = worker_encoder(tokenizer, drops_space)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             keys, texts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
