@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from interlace.llm import mixing, packing, quality, simhash, suffixes
+from interlace.llm import mixing, nearcopies, packing, quality, suffixes
 from interlace.llm.common import materialise, table
 
 STAGES = [
     ("quality_rules", quality.stage),
-    ("simhash_dedup", simhash.stage),
+    ("simhash_dedup", nearcopies.stage),
     ("suffix_dedup", suffixes.stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),

@@ -186,12 +186,5 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return prints.join(by_print, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id, with the columns it came with; rows of one id count as one."""
-    first = group(docs).select(F.col("component_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
