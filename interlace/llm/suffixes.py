@@ -9,13 +9,18 @@ the levels there are: equal neighbours in a are possible matches. Levels of equa
 
 Where u is equal too, all the strings of the sample repeat. What is left (equal in a, not in u: the ends of repeats) is
 compared string by string, only inside the groups with equal a.
+
+The query counts bytes. The stage of the pipeline counts words: there a text is the digests of its words, WORD bytes
+each, and a string of WORDS words that starts elsewhere too is cut, however long or short its words are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, delete_table, materialise, table, text_of
 
 LENGTH, GRAM, WINDOW = 400, 16, 180
-REACH = LENGTH - WINDOW + 1
+#: The stage cuts passages of WORDS words or more; a word's digest has WORD bytes.
+WORDS, WORD = 51, 6
 #: Positions handled at once by the sampling, and batches that the query cuts its texts into.
 PIECE, BATCHES = 1 << 19, 2
 #: Stretches of one group compared in one task; larger groups are cut by the place of the sample in the string.
@@ -59,13 +65,13 @@ def first_minima(h: np.ndarray) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[WINDOW - 1 : WINDOW - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def samples(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def samples(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(first string, last string, sample) for runs of strings with one sample; texts end at `ends` (ascending) in data."""
     total = len(data)
-    for lo in range(0, total - LENGTH + 1, PIECE):
-        hi = min(lo + PIECE, total - LENGTH + 1)
+    for lo in range(0, total - length + 1, PIECE):
+        hi = min(lo + PIECE, total - length + 1)
         at = np.arange(lo, hi)
-        at = at[at + LENGTH <= ends[np.searchsorted(ends, at, side="right")]]  # strings that cross no text's end
+        at = at[at + length <= ends[np.searchsorted(ends, at, side="right")]]  # strings that cross no text's end
         if not len(at):
             continue
         least = first_minima(gram_hashes(data[lo : hi + WINDOW + GRAM - 2])) + lo
@@ -74,9 +80,9 @@ def samples(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield at[cut], at[np.r_[cut[1:], len(at)] - 1], f[cut]
 
 
-def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def suffix_rows(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """(text_id, place, a, u) of all samples of the texts in the batches."""
-    digest = xxhash.xxh3_64_intdigest
+    digest, reach = xxhash.xxh3_64_intdigest, length - WINDOW + 1
     for batch in batches:
         texts, ids = batch.column("text"), batch.column("text_id").to_numpy()
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -85,19 +91,19 @@ def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = memoryview(texts.buffers()[2])[int(offsets[0]) : int(offsets[-1])]
         offsets -= offsets[0]
         data = np.frombuffer(whole, np.uint8)
-        for p0, p1, f in samples(data, offsets[1:]):
+        for p0, p1, f in samples(data, offsets[1:], length):
             owner = np.searchsorted(offsets, p0, side="right") - 1
             place = ((f - offsets[owner]) << (2 * _SHIFT)) | ((f - p0) << _SHIFT) | (p1 - p0 + 1)
-            a = np.fromiter((digest(whole[i : i + REACH]) for i in f.tolist()), np.uint64, len(f))
-            u = np.fromiter((digest(whole[i:j]) for i, j in zip(p0.tolist(), (p1 + LENGTH).tolist())), np.uint64, len(f))
+            a = np.fromiter((digest(whole[i : i + reach]) for i in f.tolist()), np.uint64, len(f))
+            u = np.fromiter((digest(whole[i:j]) for i, j in zip(p0.tolist(), (p1 + length).tolist())), np.uint64, len(f))
             yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(place), pa.array(a.view(np.int64)), pa.array(u.view(np.int64))], ["text_id", "place", "a", "u"])
 
 
 class SuffixFamily:
     """Levels of sparse suffix arrays in the shared folder, each of a size in batches that is a power of two."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, length: int = LENGTH) -> None:
+        self.spark, self.length = spark, length
         self.levels: list[tuple[int, DataFrame]] = []
         self.matches: list[DataFrame] = []
 
@@ -115,7 +121,7 @@ class SuffixFamily:
 
     def add(self, texts: DataFrame) -> None:
         """Index a batch of (text_id, text), note its matches with itself and all levels, and merge equal levels."""
-        size, rows = 1, self._array(texts.select("text_id", "text").mapInArrow(suffix_rows, "text_id long, place long, a long, u long"))
+        size, rows = 1, self._array(texts.select("text_id", "text").mapInArrow(partial(suffix_rows, length=self.length), "text_id long, place long, a long, u long"))
         self.matches.append(materialise(self.scan(rows), "matches"))
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
@@ -140,17 +146,17 @@ def _place(column: str = "place") -> tuple[Column, Column, Column]:
     return F.shiftright(c, 2 * _SHIFT), F.shiftright(c, _SHIFT).bitwiseAND(mask), c.bitwiseAND(mask)
 
 
-def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stretches(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """The bytes that the wanted samples' strings cover, for each text and its list of wanted samples."""
     schema = pa.schema([("a", pa.int64()), ("text_id", pa.int64()), ("place", pa.int64()), ("slices", pa.int32()), ("alone", pa.bool_()), ("bytes", pa.binary())])
     mask = (1 << _SHIFT) - 1
     for batch in batches:
         out = []
         for text_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("text_id", "text", "wanted"))):
-            raw = text.encode()
+            raw = text if isinstance(text, bytes) else text.encode()
             for w in wanted:
                 first = (w["place"] >> 2 * _SHIFT) - (w["place"] >> _SHIFT & mask)
-                out.append((w["a"], text_id, w["place"], w["slices"], w["alone"], raw[first : first + (w["place"] & mask) - 1 + LENGTH]))
+                out.append((w["a"], text_id, w["place"], w["slices"], w["alone"], raw[first : first + (w["place"] & mask) - 1 + length]))
             if len(out) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -158,7 +164,7 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_strings(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """(text_id, start, stop): covered spans, by comparing the strings of each group (a, slice); rows come sorted by it.
 
     Strings are compared by 128-bit digests, at the same distance before the sample. A slice has the distances that leave
@@ -173,7 +179,7 @@ def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         lists = []
         for text_id, place, slices, number, alone, raw in group:
             before, n = place >> _SHIFT & mask, place & mask
-            own = [(i, digest(raw[i : i + LENGTH]) + (before - i).to_bytes(2, "little")) for i in range(n) if (before - i) % slices == number]
+            own = [(i, digest(raw[i : i + length]) + (before - i).to_bytes(2, "little")) for i in range(n) if (before - i) % slices == number]
             seen.update(d for _, d in own)
             if alone:
                 lists.append((text_id, (place >> 2 * _SHIFT) - before, own))
@@ -183,11 +189,11 @@ def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for i, d in own:
                 if seen[d] > 1:
                     if span and first + i <= span[1]:
-                        span[1] = first + i + LENGTH
+                        span[1] = first + i + length
                     else:
                         if span:
                             found.append((text_id, *span))
-                        span = [first + i, first + i + LENGTH]
+                        span = [first + i, first + i + length]
             if span:
                 found.append((text_id, *span))
         return found
@@ -206,19 +212,19 @@ def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["text_id", "start", "stop"])
 
 
-def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(sha, text, copies, text_id) of the texts with LENGTH bytes or more, each once: copies meet before any shuffle."""
-    rows = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= LENGTH)
+def distinct_texts(docs: DataFrame, text: str, least: int = LENGTH) -> DataFrame:
+    """(sha, text, copies, text_id) of the texts with `least` bytes or more, each once: copies meet before any shuffle."""
+    rows = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= least)
     rows = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # The number is fixed once the table is written.
     return materialise(rows.withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
 
-def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
     """(text_id, start, stop): spans that cover the bytes to remove, in any order and overlapping."""
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    family = SuffixFamily(spark)
+    family = SuffixFamily(spark, length)
     for i in range(batches):
         family.add(texts.filter(F.pmod(F.xxhash64("sha"), F.lit(batches)) == i))
     rows = materialise(family.candidates(), "candidates")
@@ -226,13 +232,13 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
         delete_table(level)
     pairs = materialise(rows.groupBy("a", "u").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one")), "pairs")
     sample, before, count = _place()
-    sure = rows.join(pairs.filter("n > 1").select("a", "u"), ["a", "u"], "left_semi").select("text_id", (sample - before).alias("start"), (sample - before + count - 1 + LENGTH).alias("stop"))
+    sure = rows.join(pairs.filter("n > 1").select("a", "u"), ["a", "u"], "left_semi").select("text_id", (sample - before).alias("start"), (sample - before + count - 1 + length).alias("stop"))
     # Groups with several u: one text for each u is enough to compare with, and needs an answer itself if it is alone.
     mixed = pairs.groupBy("a").agg(F.count("*").alias("nu"), F.min("n").alias("least")).filter("nu > 1 and least = 1").select("a", F.least(F.ceil(F.col("nu") / GROUP), F.lit(WINDOW)).cast("int").alias("slices"))
     wanted = pairs.join(mixed, "a").select("one.text_id", F.struct("a", "one.place", "slices", (F.col("n") == 1).alias("alone")).alias("w")).groupBy("text_id").agg(F.collect_list("w").alias("wanted"))
-    cut = texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(stretches, "a long, text_id long, place long, slices int, alone boolean, bytes binary")
+    cut = texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(partial(stretches, length=length), "a long, text_id long, place long, slices int, alone boolean, bytes binary")
     cut = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).repartition(n, "a", "slice").sortWithinPartitions("a", "slice")
-    ends = cut.mapInArrow(repeated_strings, "text_id long, start long, stop long")
+    ends = cut.mapInArrow(partial(repeated_strings, length=length), "text_id long, start long, stop long")
     copies = texts.filter("copies > 1").select("text_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))
     return sure.unionByName(ends).unionByName(copies)
 
@@ -282,9 +288,48 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: in
     return rows.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
+def word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts with the digests of their words in place of them."""
+    known: dict[bytes, bytes] = {}
+    for batch in batches:
+        out = []
+        for text in batch.column("text").to_pylist():
+            if len(known) > 1 << 18:
+                known.clear()
+            words = text.encode().split()
+            for w in set(words) - known.keys():
+                known[w] = xxhash.xxh64_digest(w)[:WORD]
+            out.append(b"".join([known[w] for w in words]))
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(out, pa.binary()))
+
+
+def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text without the words that the spans of digests cover and the white space after them."""
+    for batch in batches:
+        out = []
+        for sha, text, spans in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "spans"))):
+            raw = text.encode()
+            starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] + [len(raw)]
+            runs = merge_spans([{"start": starts[-(-r["start"] // WORD)], "stop": starts[r["stop"] // WORD]} for r in spans])
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)]))
+            out.append({"sha": sha, "kept_text": kept.decode()})
+        if out:
+            yield pa.RecordBatch.from_pylist(out)
+
+
+def without_passages(docs: DataFrame, text: str = "text", batches: int = BATCHES) -> DataFrame:
+    """(sha, kept_text) of the texts that lose passages of WORDS words or more which also start elsewhere."""
+    arrow_limits(docs.sparkSession)
+    texts = distinct_texts(docs, text, 2 * WORDS - 1)
+    digests = texts.mapInArrow(word_digests, "sha string, text binary, copies long, text_id long").filter(F.octet_length("text") >= WORDS * WORD)
+    spans = repeated_spans(digests, batches, WORDS * WORD).groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans").mapInArrow(cut_words, "sha string, kept_text string")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the repeated passages cut out of their texts; n_chars follows the text."""
-    changed = changed_texts(docs).select(F.col("sha").alias("__sha"), F.col("kept_text").alias("__kept"))
+    """All documents with the repeated passages of WORDS words or more cut out of their texts; n_chars follows the text."""
+    changed = without_passages(docs).select(F.col("sha").alias("__sha"), F.col("kept_text").alias("__kept"))
     rows = docs.join(changed, F.sha2(F.col("text"), 256) == F.col("__sha"), "left")
     kept = F.coalesce("__kept", "text")
     out = rows.withColumn("text", kept).withColumn("n_chars", F.when(F.col("__sha").isNull(), F.col("n_chars")).otherwise(F.length("text")))

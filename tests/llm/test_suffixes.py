@@ -73,3 +73,20 @@ def test_stage_and_empty_table(spark):
     by = {r.doc_id: r for r in out.collect()}
     assert by[11].text == "" and by[12].text.startswith("start") and by[12].n_chars == len(by[12].text) and by[0].text is None
     assert suffixes.remove(empty(spark)).count() == 0
+
+
+def test_stage_cuts_passages_of_over_fifty_words_whatever_their_bytes(spark):
+    """51 words go from both texts and 50 stay, with short words and long ones; white space does not matter."""
+    rng = random.Random(11)
+    words = lambda n, a, b: ["".join(rng.choices("abcdefgé", k=rng.randint(a, b))) for _ in range(n)]
+    texts, want = [], []
+    for n in (50, 51, 58, 120):
+        for a, b in ((1, 3), (4, 7), (12, 20)):
+            passage = words(n, a, b)
+            for space in (" ", "\n"):
+                before, after = words(30, 9, 11), words(30, 9, 11)
+                texts.append(" ".join(before) + " " + space.join(passage) + " " + " ".join(after))
+                want.append(texts[-1] if n == 50 else " ".join(before + after))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    rows = suffixes.stage(spark, docs, "").orderBy("doc_id").collect()
+    assert [r.text for r in rows] == want and [r.n_chars for r in rows] == [len(t) for t in want]
