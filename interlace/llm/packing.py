@@ -22,8 +22,8 @@ from .common import arrow_limits, table
 from .encode import worker_encoder
 
 WINDOW, END_ID = 4096, 2
-#: Tokens of a shard at most (but for one longer document), query terms of a seed, and BM25's two parameters.
-SHARD_TOKENS, QUERY_TERMS, K1, B = 2_000_000, 12, 1.2, 0.75
+#: Tokens of a shard at most (but for one longer document), query terms of a seed (None: all), and BM25's two parameters.
+SHARD_TOKENS, QUERY_TERMS, K1, B = 2_000_000, None, 1.2, 0.75
 Piece = tuple[int, int, int, int, int]  # document in the shard, start, length, sequence, offset
 
 
@@ -56,7 +56,7 @@ class Bm25:
         self.by_doc, self.doc_first = order, np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best first, ties by their order in the shard."""
+        """Unused documents that share a term with the seed, best first, ties by their order in the shard."""
         own = self.by_doc[self.doc_first[seed] : self.doc_first[seed + 1]][:QUERY_TERMS]
         if not len(own):
             return np.empty(0, np.int64)

@@ -86,3 +86,9 @@ def test_pieces_hold_all_ids(spark):
             assert np.concatenate([p[1] for p in sorted(parts, key=lambda p: p[0])]).tolist() == want
             assert all(p[2] == len(want) for p in parts)
     assert packing.packed(empty(spark)).count() == 0
+
+
+def test_all_terms_of_a_seed_count():
+    """The twelve heaviest terms of the seed are its own; what it shares with others are light ones."""
+    docs = [np.append(np.arange(40), np.repeat(np.arange(100, 112), 5)), np.arange(40), np.arange(0, 40, 4), np.arange(200, 240)]
+    assert packing.Bm25(docs).neighbours(0, np.array([False, True, True, True])).tolist() == [1, 2]
