@@ -17,12 +17,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_limits, materialise, table
+from .common import WIDE_ROWS, arrow_limits, materialise, table
 from .encode import worker_encoder
 
-#: Ids in a block; the last block of a shard may have fewer. Texts are encoded in groups of about GROUP_CHARS characters.
-BLOCK_IDS, GROUP_CHARS = 1 << 16, 1 << 20
+#: Ids in a block; the last block of a shard may have fewer.
+BLOCK_IDS = 1 << 16
 END_ID = 0
 #: A row for each block. first_doc, doc_starts and doc_lengths: the documents that begin in the block, in their order.
 FORMAT = "shard int, block int, n_ids int, mode string, planes array<binary>, doc_keys array<long>, doc_starts array<long>, doc_lengths array<long>"
@@ -55,18 +56,6 @@ def unpack(planes: list[bytes], n: int, mode: str = "byte") -> np.ndarray:
     return np.ascontiguousarray(np.stack(rows, axis=1)).reshape(-1).view("<u4")
 
 
-def groups_of(texts: list[str | None], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about limit characters; a longer text is a range of its own."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def write(docs: DataFrame, tokenizer: str, drops_space: bool = False, key: str = "doc_id", text: str = "text", mode: str = "byte", end_id: int | None = END_ID, shards: int | None = None) -> DataFrame:
     """Encode docs in ascending order of the key (null keys first, ties in order of their texts) and write the blocks.
 
@@ -74,7 +63,7 @@ def write(docs: DataFrame, tokenizer: str, drops_space: bool = False, key: str =
     numbers. A null or empty text has no ids but the end id. Repeated rows are separate documents.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
+    arrow_limits(spark, WIDE_ROWS)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(shards, F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), "t")
     rows = rows.select(F.spark_partition_id().alias("shard"), "k", "t")
@@ -100,13 +89,11 @@ def write(docs: DataFrame, tokenizer: str, drops_space: bool = False, key: str =
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            ks, ts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
-            shard = batch.column("shard")[0].as_py() if len(ks) else shard
-            for a, b in groups_of(ts):
-                for k, ids in zip(ks[a:b], encoder.encode(ts[a:b])):
-                    keys.append(k), starts.append(written + len(waiting) // 4), lengths.append(len(ids) // 4 + len(end) // 4)
-                    waiting += ids
-                    waiting += end
+            shard = batch.column("shard")[0].as_py() if len(batch) else shard
+            for k, ids in zip(batch.column("k").to_pylist(), encoder.encode_array(batch.column("t"))):
+                keys.append(k), starts.append(written + len(waiting) // 4), lengths.append(len(ids) + len(end) // 4)
+                waiting += ids.astype("<u4").tobytes()
+                waiting += end
                 while len(waiting) >= 4 * BLOCK_IDS:
                     yield flush(BLOCK_IDS)
         if waiting or keys:
@@ -123,7 +110,8 @@ def documents_of(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     # A row for each shard, as many as there were writing tasks.
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").cast("long").alias("n"))
-    offsets = sizes.alias("a").join(sizes.alias("b"), F.col("b.shard") < F.col("a.shard"), "left").groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

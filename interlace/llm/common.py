@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python; long texts are bounded by the bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Rows of a batch where few columns are read and more texts at once share more words; its bytes bound it too.
+WIDE_ROWS = 6000
+
+#: A key with more rows than this, and than the HOT_SHARE-th part of all rows, is split by split_join().
+HOT_ROWS, HOT_SHARE = 1000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_limits(spark: SparkSession) -> None:
+def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what a Python worker holds of its input at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -56,6 +61,20 @@ def delete_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def split_join(rows: DataFrame, wanted: DataFrame, keys: list[str], total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with wanted on keys, where wanted has each key once and its number of rows in column n (not returned).
+
+    A key of more than a HOT_SHARE-th of the total rows is dealt to pieces by a hash of the columns `by`, and its row of
+    wanted is repeated for each piece. There are HOT_SHARE such keys at most, whatever the data, so they may be broadcast.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    pieces = F.ceil(F.col("n") / limit).cast("int")
+    hot = F.broadcast(wanted.filter(F.col("n") > limit).select(*keys, pieces.alias("__pieces")))
+    left = rows.join(hot, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(*by), F.coalesce("__pieces", F.lit(1))).cast("int"))
+    right = wanted.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    return left.drop("__pieces").join(right, [*keys, "__piece"], how).drop("__piece")
+
+
 def text_of(name: str = "text") -> F.Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -17,8 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitplanes import groups_of
-from .common import arrow_limits, table
+from .common import WIDE_ROWS, arrow_limits, table
 from .encode import worker_encoder
 
 WINDOW, END_ID = 4096, 2
@@ -135,10 +134,8 @@ def encoded(docs: DataFrame, tokenizer: str, drops_space: bool, key: str, text:
         encoder = worker_encoder(tokenizer, drops_space)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            keys, texts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
-            for a, b in groups_of(texts):
-                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array([locality(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
+            ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode_array(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([locality(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, place long, ids binary")
 
@@ -149,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, key: str =
     Null texts count as empty: such a document is its end id. Null and repeated keys are separate documents; an empty
     table gives no pieces. Documents with one locality may be a third of all: Spark splits their partition when it is large.
     """
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, WIDE_ROWS)
     wide = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
     rows = encoded(docs, tokenizer, drops_space, key, text, end_id).hint("rebalance", "place").sortWithinPartitions("place", "k")
     schema = pa.schema([(key, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

@@ -2,7 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from interlace.llm import bitplanes, encode
@@ -48,3 +51,22 @@ def test_documents_come_back(spark, monkeypatch, mode, block):
     got = bitplanes.documents_of(bitplanes.write(docs, BYTE, mode=mode)).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert bitplanes.documents_of(bitplanes.write(empty(spark), BYTE)).count() == 0
+
+
+@pytest.mark.parametrize("path, drops", [(BYTE, False), (WORD, True)])
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="abIKZsé×÷ÿß€—“’'\"..,;_-(<|>5²½́̊̇ΣКſ 　 \x1c \n\t", max_size=30), max_size=6))
+def test_segments_of_odd_texts_give_the_ids_of_the_library(path, drops, texts):
+    encoder = encode.worker_encoder(path, drops)
+    got = [ids.tolist() for ids in encoder.encode_array(pa.array(texts, pa.string()))]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_segments_are_not_kept(monkeypatch):
+    monkeypatch.setattr(encode, "GROUP_BYTES", 50)
+    encoder = encode.Encoder(BYTE, False)
+    texts = ["a" * 100, "b " * 30, "c" * 61 + " a", "a" * 100, None, ""]
+    plain = Tokenizer.from_file(BYTE)
+    assert [i.tolist() for i in encoder.encode_array(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encoder.slot)) <= encode.CACHE_CHARS
+    assert list(encode.ranges(np.array([30, 30, 80, 10, 10]), 50)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
