@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, materialise, table
+from .common import HOT_SHARE, arrow_limits, materialise, table
 
 BITS, MAX_BITS, SHINGLE, SEED = 64, 3, 3, 42
-#: Homes that one task holds at an anchor; anchors with more are split into blocks, each of which sees all visitors.
+#: Homes that a task holds at an anchor, or the HOT_SHARE-th part of all if that is more; larger anchors are split into
+#: blocks, each of which sees all visitors. BLOCK homes are compared at once.
 BLOCK = 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -38,9 +39,13 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the digests."""
+    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
 @F.pandas_udf(T.LongType())
@@ -118,11 +123,12 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run, h = fp[a:b], home[a:b]
             homes = np.concatenate([homes, run[h]])
             for lo in range(0, len(run), 1024):
-                near = np.bitwise_count(homes[:, None] ^ run[None, lo : lo + 1024]) <= MAX_BITS
-                for i, j in zip(*np.nonzero(near)):
-                    x, y = int(homes[i]), int(run[lo + j])
-                    if x != y and links.join(x, y):
-                        found.append((x, y))
+                for at in range(0, len(homes), BLOCK):
+                    near = np.bitwise_count(homes[at : at + BLOCK, None] ^ run[None, lo : lo + 1024]) <= MAX_BITS
+                    for i, j in zip(*np.nonzero(near)):
+                        x, y = int(homes[at + i]), int(run[lo + j])
+                        if x != y and links.join(x, y):
+                            found.append((x, y))
         if found:
             pairs = np.array(found, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -131,9 +137,10 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links_of(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), a spanning forest of those that meet at each anchor."""
     rows = fps.mapInArrow(replicate, "anchor long, fp long, home boolean")
-    # Homes: two for each fingerprint. Only anchors with more than BLOCK of them are split; few or none.
-    hot = rows.filter("home").groupBy("anchor").count().filter(F.col("count") > BLOCK)
-    hot = hot.select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # Each fingerprint has two homes, so at most 2 * HOT_SHARE anchors are above the limit, and they may be broadcast.
+    limit = max(BLOCK, fps.count() // HOT_SHARE)
+    hot = rows.filter("home").groupBy("anchor").count().filter(F.col("count") > limit)
+    hot = F.broadcast(hot.select("anchor", F.ceil(F.col("count") / limit).cast("int").alias("blocks")))
     rows = rows.join(hot, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.array(F.pmod(F.hash("fp"), F.col("blocks")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -161,12 +168,17 @@ def components(edges: DataFrame, nodes_name: str = "fp") -> DataFrame:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
+    def state(e: DataFrame) -> tuple:
+        """Rows and digests over them: the rows are distinct, so a change shows in one of the three."""
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+    before = state(edges)
     while True:
-        after = materialise(star(star(edges, True), False), "edges")
-        change = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not change:
+        edges = materialise(star(star(edges, True), False), "edges")
+        after = state(edges)
+        if after == before:
             return edges.select(F.col("a").alias(nodes_name), F.col("b").alias("root"))
+        before = after
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
