@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import HOT_ROWS, HOT_SHARE, table
 
 #: Open end of an interval that no later entry closes.
 FOREVER = "9999-12-31 00:00:00"
-#: Parent domains that are looked up have this many labels at most; a longer host is cut to its last labels, whole host included.
-LABELS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -24,12 +22,12 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
 
 
-def suffixes(host: Column, labels: int = LABELS) -> Column:
-    """The host and its parent domains of two labels or more, without repeats."""
+def suffixes(host: Column) -> Column:
+    """The host and all its parent domains of two labels or more."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
-    take = F.transform(F.sequence(F.lit(2), F.lit(labels)), lambda k: F.when(k <= n, F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), k), ".")))
-    return F.array_distinct(F.array_compact(F.array_append(take, host)))
+    take = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
+    return F.when(n < 2, F.array(host)).otherwise(take)
 
 
 def intervals(feed: DataFrame) -> DataFrame:
@@ -50,18 +48,27 @@ def intervals(feed: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, feed: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
     """(key, host, fetched_at, n_hits, listed_host, listed_since, blocked) for every distinct capture (key, host, time).
 
-    listed_host is the longest listed domain at the fetch time. A null fetch time is never blocked. Captures are
-    grouped by (host, time) before the join, so that a host with a third of the rows is joined once for each time;
-    Spark splits what is left of it as a skewed join, for the join is an equality on the domain.
+    listed_host is the longest listed domain at the fetch time. A null fetch time is never blocked. Captures are grouped
+    by (host, time) first. The join is as-of: a domain's spans and times are sorted together, and each time takes the
+    latest span that starts at or before it; spans of a domain are disjoint, so no other can hold it. A domain with more
+    than a HOT_SHARE-th of all times is dealt to pieces, each of which has all its spans.
     """
     rows = captures.select(F.col(key), host_of(F.col(url)).alias("host"), F.col(at).cast("timestamp_ntz").alias("fetched_at")).distinct()
     times = rows.filter(F.col("fetched_at").isNotNull()).select("host", "fetched_at").distinct()
-    probe = times.select("host", "fetched_at", F.explode(suffixes(F.col("host"))).alias("domain"))
-    spans = intervals(feed).withColumnRenamed("host", "domain")
-    within = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("fetched_at") < F.col("valid_to"))
-    hits = probe.join(spans, "domain").filter(within).groupBy("host", "fetched_at").agg(
+    probe = times.select("host", F.col("fetched_at").alias("at"), F.explode(suffixes(F.col("host"))).alias("domain"))
+    limit = max(HOT_ROWS, probe.count() // HOT_SHARE)
+    hot = probe.groupBy("domain").count().filter(F.col("count") > limit)  # HOT_SHARE rows at most
+    hot = F.broadcast(hot.select("domain", F.ceil(F.col("count") / limit).cast("int").alias("pieces")))
+    pieces = F.coalesce("pieces", F.lit(1))
+    spans = intervals(feed).withColumnRenamed("host", "domain").join(hot, "domain", "left")
+    spans = spans.select("domain", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.col("valid_from").alias("at"), F.struct("valid_from", "valid_to").alias("span"))
+    probe = probe.join(hot, "domain", "left").select("domain", F.pmod(F.xxhash64("host", "at"), pieces).cast("int").alias("piece"), "at", "host")
+    latest = Window.partitionBy("domain", "piece").orderBy("at", F.col("host").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = spans.unionByName(probe, allowMissingColumns=True).withColumn("span", F.last("span", ignorenulls=True).over(latest))
+    found = found.filter(F.col("host").isNotNull() & (F.col("at") < F.col("span.valid_to")))
+    hits = found.groupBy("host", F.col("at").alias("fetched_at")).agg(
         F.count("*").alias("n_hits"),
-        F.max(F.struct(F.length("domain").alias("n"), F.col("domain"), F.col("valid_from"))).alias("best"),
+        F.max(F.struct(F.length("domain").alias("n"), F.col("domain"), F.col("span.valid_from"))).alias("best"),
     )
     hits = hits.select("host", "fetched_at", "n_hits", F.col("best.domain").alias("listed_host"), F.col("best.valid_from").alias("listed_since"))
     out = rows.join(hits, ["host", "fetched_at"], "left")
@@ -105,7 +112,7 @@ num AS (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS h, CAST('0x
           CAST('0x' || substr(md5(host), 9, 4) AS INT) % 100 + 20 AS b, CAST('0x' || substr(md5(host), 13, 4) AS INT) % 60 + 10 AS c FROM base),
 spans AS (SELECT host AS domain, TIMESTAMP '2024-01-01' + to_days(a) AS valid_from, TIMESTAMP '2024-01-01' + to_days(a + b) AS valid_to FROM num WHERE h % 3 = 0
           UNION ALL SELECT host, TIMESTAMP '2024-01-01' + to_days(a + b + c), TIMESTAMP '9999-12-31' FROM num WHERE h % 9 = 0),
-dom AS (SELECT DISTINCT host, unnest(list_distinct(list_append(list_transform(range(2, least(len(parts), 8) + 1), lambda k: array_to_string(parts[-k:], '.')), host))) AS domain FROM rows),
+dom AS (SELECT DISTINCT host, unnest(list_distinct(list_append(list_transform(range(2, len(parts) + 1), lambda k: array_to_string(parts[-k:], '.')), host))) AS domain FROM rows),
 hits AS (SELECT r.page_id, r.host, r.fetched_at, count(*) AS n_hits, max({'n': length(s.domain), 'domain': s.domain, 'valid_from': s.valid_from}) AS best
          FROM rows r JOIN dom USING (host) JOIN spans s USING (domain) WHERE r.fetched_at >= s.valid_from AND r.fetched_at < s.valid_to GROUP BY ALL)
 SELECT r.page_id, r.host, r.fetched_at, coalesce(n_hits, 0) AS n_hits, best.domain AS listed_host, best.valid_from AS listed_since, best IS NOT NULL AS blocked
