@@ -1,25 +1,26 @@
 """Licence scan by canonical digest: whole texts against known licences.
 
-A text is normalised (case, copyright lines, punctuation, equivalent spellings), digested, and hash-joined
+A text is normalised (case, copyright notices, punctuation, equivalent spellings, title lines), digested, and hash-joined
 with the digests of the known licences, which are normalised by the same expressions. Built-in functions only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
 
-# Spellings that the licence matching guidelines treat as equal (from, to), words separated by spaces.
-EQUIVALENT = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
-    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
-    ("authorisation", "authorization"), ("authorised", "authorized"), ("favour", "favor"), ("fulfil", "fulfill"),
-    ("judgement", "judgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"),
-    ("organisation", "organization"), ("recognised", "recognized"), ("whilst", "while"), ("wilful", "willful"),
-    ("https", "http"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
-)
+# Spellings that the licence matching guidelines treat as equal (from, to).
+EQUIVALENT = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "acknowledgement": "acknowledgment", "analogue": "analog",
+    "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "favour": "favor",
+    "fulfil": "fulfill", "judgement": "judgment", "merchantibility": "merchantability", "organisation": "organization",
+    "recognised": "recognized", "whilst": "while", "wilful": "willful", "https": "http",
+}
+PAIRS = {"sub license": "sublicense", "non infringement": "noninfringement", "copyright owner": "copyright holder", "copyright owners": "copyright holders"}
 
 # Texts of public licences and of the notices that stand for them.
 _PERMIT = (
@@ -65,37 +66,79 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
-#: A line that carries a copyright claim, with the line break before it.
-COPYRIGHT = r"(^|\n)[^\n]*(copyright +(\(c\)|©|[0-9])|\(c\) +[0-9]|© *[0-9]|all rights reserved)[^\n]*"
+#: The digest of an empty normal form.
+EMPTY = hashlib.sha256(b"").hexdigest()
+# Digests of the normal forms of longer public licences, whole texts as the licences' stewards publish them.
+DIGESTS = {
+    "Apache-2.0": "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2-only": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3-only": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0-only": "e80b630fa4f92f7da9cffbd75699f62bfac51ce5b33da44e74b5acc53e5187f6",
+    "GPL-2.0-only": "ada43b21b16dd64b4b8f1d9c2ab43ff16f75a8f0f835fc2f37a0c7e65f28d243",
+    "GPL-3.0-only": "274362af652e77e6f0b95849b862c8080691fdb958ffa1c562be7710f3ee74db",
+    "LGPL-2.0-only": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1-only": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0-only": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "d8d0b06e50958b0eba5a23fe34f89208823600494dec35f53d75d38796963973",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
+#: A copyright notice: from the claim to the line's end, or to words with which the text of a licence goes on after it.
+COPYRIGHT = (
+    r"(?:(?:^|\n)[ \t*#/;%-]*copyright +[^\n]*?|(?:copyright *(?:\(c\)|©)|copyright +[0-9]|\(c\) +[0-9]|© *[0-9]|all rights reserved)[^\n]*?)"
+    r"(\n|$|\bpermission |\bredistribution |\blicen[sc]ed |\breleased |\bthis |\bthe software )"
+)
+#: "copyright" in the running text of a licence, which may begin a line there; it is kept from COPYRIGHT.
+RUNNING = r"\bcopyright( +(?:notices?|holders?|owners?|licen[sc]es?|statement|law|interest|and|or|to|in|is))\b"
+#: Titles that stand before the text of some licences and are left out in copies of others.
+TITLE = r"^(the )?(mit|isc|(new |simplified |modified )?bsd( [0-9] clause)?) license( mit)? "
 
 
 def canonical(text: Column) -> Column:
-    """The normal form: lower case, no copyright lines, words and digits between single spaces, one spelling."""
-    text = F.replace(F.lower(text), F.lit("&"), F.lit(" and "))
-    text = F.regexp_replace(text, COPYRIGHT, "\n")
-    text = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    for old, new in EQUIVALENT:
-        text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(text, " +", " "))
+    """The normal form: lower case, no copyright notices or title, words and digits between single spaces, one spelling.
+
+    Only the notice goes, not what follows it on its line. A notice without year or sign counts if it begins a line.
+    """
+    text = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), RUNNING, "copyright:$1")
+    # Two line breaks, so that neighbouring notices do not share one.
+    text = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit("\n\n")), COPYRIGHT, "\n$1")
+    same = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
+    words = F.transform(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.coalesce(F.element_at(same, w), w))
+    # Two blanks between words, so that neighbouring pairs do not share one.
+    text = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    for old, new in PAIRS.items():
+        text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    text = F.concat(F.trim(F.replace(text, F.lit("  "), F.lit(" "))), F.lit(" "))
+    return F.trim(F.regexp_replace(text, TITLE, ""))
+
+
+def digests_of(known: DataFrame) -> DataFrame:
+    """(digest, license_id) of a table of known licences (license_id, body); of equal texts the least id."""
+    return known.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license_id) of the known licences; as many rows as the list has, so it may be broadcast."""
-    frame = spark.createDataFrame(list(known), "license_id string, body string")
-    return frame.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession) -> DataFrame:
+    """The built-in list: the texts of KNOWN and the digests of DIGESTS."""
+    texts = digests_of(spark.createDataFrame(list(KNOWN), "license_id string, body string"))
+    return texts.unionByName(spark.createDataFrame([(d, i) for i, d in DIGESTS.items()], "digest string, license_id string"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(key, canonical_chars, digest, license_id) for every row of docs.
 
-    license_id is null where the whole text is no known licence. A null text counts as empty; an empty normal
-    form matches nothing. Repeated rows and null keys are kept as they are; other columns are not read.
+    known: a table (digest, license_id) with each digest once, of any size; the built-in list if not given. license_id is
+    null where the whole text is no known licence. A null text counts as empty; an empty normal form matches nothing.
+    Repeated rows and null keys are kept as they are; other columns are not read.
     """
     body = docs.select(F.col(key), canonical(text_of(text)).alias("body"))
     body = body.select(key, F.length("body").cast("long").alias("canonical_chars"), F.sha2(F.col("body"), 256).alias("digest"))
-    found = F.broadcast(known_digests(docs.sparkSession, known))
+    # The built-in list has as many rows as the module; Spark decides by its size about a given table.
+    found = F.broadcast(known_digests(docs.sparkSession)) if known is None else known.select("digest", "license_id")
+    found = found.filter(F.col("digest") != F.lit(EMPTY))
     return body.join(found, "digest", "left").select(key, "canonical_chars", "digest", "license_id")
 
 
@@ -104,18 +147,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(x: str) -> str:
-    x = f"replace(lower({x}), '&', ' and ')"
-    x = f"regexp_replace({x}, '{COPYRIGHT}', chr(10), 'g')"
-    x = f"' ' || regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
-    for old, new in EQUIVALENT:
-        x = f"replace({x}, ' {old} ', ' {new} ')"
-    return f"trim(regexp_replace({x}, ' +', ' ', 'g'), ' ')"
+    x = f"regexp_replace(replace(lower({x}), '&', ' and '), '{RUNNING}', 'copyright:\\1', 'g')"
+    x = f"regexp_replace(replace({x}, chr(10), chr(10) || chr(10)), '{COPYRIGHT}', chr(10) || '\\1', 'g')"
+    same = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in EQUIVALENT.items()) + "}"
+    x = f"array_to_string(list_transform(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: coalesce({same}[w], w)), '  ')"
+    x = f"' ' || {x} || ' '"
+    for old, new in PAIRS.items():
+        x = f"replace({x}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace(trim(replace({x}, '  ', ' '), ' ') || ' ', '{TITLE}', ''), ' ')"
 
 
 _ROWS = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in KNOWN)
+_DIGESTS = ", ".join(f"('{d}', '{i}')" for i, d in DIGESTS.items())
 SQL = f"""
 WITH known AS (SELECT sha256({_sql_canonical("body")}) AS digest, min(license_id) AS license_id
-               FROM (VALUES {_ROWS}) AS t(license_id, body) GROUP BY 1),
+               FROM (VALUES {_ROWS}) AS t(license_id, body) GROUP BY 1 UNION ALL SELECT * FROM (VALUES {_DIGESTS}) AS t(digest, license_id)),
 d AS (SELECT doc_id, {_sql_canonical("coalesce(text, '')")} AS body FROM documents),
 e AS (SELECT doc_id, CAST(length(body) AS BIGINT) AS canonical_chars, sha256(body) AS digest FROM d)
 SELECT doc_id, canonical_chars, digest, license_id FROM e LEFT JOIN known USING (digest)

@@ -1,8 +1,10 @@
 import datetime
 import itertools
+import pathlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +29,49 @@ def test_licence_spellings_match_and_other_texts_do_not(spark):
     assert licences.scan(documents(spark)).count() == 13 and licences.scan(empty(spark)).count() == 0
 
 
+def planted_licences():
+    """(license_id, text): known licences in the spellings that count as equal, and texts that are none."""
+    texts = dict(reversed(licences.KNOWN))
+    mit = licences.KNOWN[0][1]
+    rows = [(name, text) for name, text in licences.KNOWN]
+    rows += [("MIT", x + mit) for x in (
+        "Copyright (c) 2020 X. ", "Copyright (c) 1999-2020 The X Authors, Inc. All rights reserved. ", "MIT License\n\nCopyright (c) 2020 A. Person\n\n", "The MIT License (MIT)\nCopyright Jane Doe\nCopyright John Doe\n\n",
+        "/*\n * Copyright © 2020 X\n * Copyright Y\n */\n", "(c) 2020 X\n© 2021 Z\n",
+    )]
+    rows.append(("MIT", mit.replace("sublicense", "sub-licence").replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("copyright holders", "Copyright\towners")))
+    rows.append(("BSD-3-Clause", "BSD 3-Clause License\n" + texts["BSD-3-Clause"].replace("above copyright notice", "above\ncopyright notice")))
+    rows.append((None, "MIT License"))
+    rows.append((None, mit + mit))
+    rows.append((None, "Copyright (c) 2020 X"))
+    for name, file in {"GPL-3.0-only": "GPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}.items():
+        path = pathlib.Path("/usr/share/common-licenses") / file
+        if path.exists():
+            rows += [(name, path.read_text()), (name, path.read_text().replace("\n", " \r\n").upper().replace(" LICENSES ", " LICENCES "))]
+    return rows
+
+
+def test_planted_licences_are_found_and_sql_agrees(spark):
+    rows = [(i, name, text) for i, (name, text) in enumerate(planted_licences())]
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    got = {r.doc_id: tuple(r) for r in licences.scan(docs).collect()}
+    assert {i: r[3] for i, r in got.items()} == {i: name for i, name, _ in rows}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, _, t in rows])
+    assert {r[0]: r for r in con.execute(licences.SQL).fetchall()} == got
+
+
+def test_neighbouring_words_are_spelled_alike(spark):
+    pair = spark.createDataFrame([(0, "the licence licence terms favour sub license sub license"), (1, "The license license terms favor sublicense sublicense")], "doc_id long, text string")
+    assert len({r.digest for r in licences.scan(pair).collect()}) == 1
+
+
+def test_known_licences_may_be_a_table(spark):
+    known = licences.digests_of(spark.createDataFrame([("Own-1.0", "Do as you like."), ("Nothing", "")], "license_id string, body string"))
+    docs = spark.createDataFrame([(0, "Copyright (c) 2021 Me\nDO AS YOU LIKE"), (1, ""), (2, None), (3, licences.KNOWN[0][1])], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licences.scan(docs, known=known).collect()} == {0: "Own-1.0", 1: None, 2: None, 3: None}
+
+
 # --- url lists --------------------------------------------------------------------------------------------------------
 def test_asof_join_matches_brute_force(spark):
     rng = random.Random(7)
@@ -53,6 +98,26 @@ def test_asof_join_matches_brute_force(spark):
         assert (r.n_hits, r.blocked, r.listed_host) == (len(want), bool(want), max(want, key=len) if want else None)
 
 
+def test_hosts_of_many_labels_are_looked_up_under_all_parents(spark):
+    host = ".".join(f"l{i}" for i in range(12))
+    day = datetime.datetime(2024, 1, 1)
+    feed = [(".".join(host.split(".")[2:]), day, "add"), ("l11", day, "add"), ("localhost", day, "add")]
+    captures = [(1, f"http://{host}/x", day), (2, "http://localhost/", day), (3, f"http://{host}/x", day - datetime.timedelta(1))]
+    rows = url_lists.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp_ntz"), spark.createDataFrame(feed, "host string, listed_at timestamp_ntz, action string"))
+    assert {r.page_id: (r.blocked, r.n_hits, r.listed_host) for r in rows.collect()} == {1: (True, 1, feed[0][0]), 2: (True, 1, "localhost"), 3: (False, 0, None)}
+
+
+def test_hot_domains_are_dealt_to_pieces(spark, monkeypatch):
+    """One domain with most captures and many spans, split and not split: the same rows."""
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=n)
+    feed = spark.createDataFrame([("a.com", day(10 * i), "remove" if i % 2 else "add") for i in range(30)] + [("b.com", day(5), "add")], "host string, listed_at timestamp_ntz, action string")
+    captures = spark.createDataFrame([(i, f"http://{'x' * (i % 7)}.a.com" if i % 5 else "http://b.com", day(i % 310)) for i in range(900)], "page_id long, url string, fetched_at timestamp_ntz")
+    want = sorted(map(repr, url_lists.evaluate(captures, feed).collect()))
+    monkeypatch.setattr(url_lists, "HOT_ROWS", 20)
+    monkeypatch.setattr(url_lists, "HOT_SHARE", 50)
+    assert sorted(map(repr, url_lists.evaluate(captures, feed).collect())) == want and len(want) == 900
+
+
 def test_plan_of_url_lists_has_no_python(spark):
     plan = url_lists.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
