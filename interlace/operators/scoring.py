@@ -14,29 +14,50 @@ WEIGHTS = {"oem": 40, "category": 20, "description": 15, "fitment": 15, "specs":
 TOLERANCE, RATIO = 0.08, 0.85
 
 
+# Each text signal has two steps: what belongs to one part is computed once for the part, and pairs only compare it.
+def reference_forms(refs: Column) -> Column:
+    """The normal forms of references and their base numbers."""
+    normal = F.transform(refs, X.normal_reference)
+    return F.struct(normal.alias("normal"), F.transform(normal, X.base_reference).alias("base"))
+
+
+def compare_references(a: Column, b: Column, residue: Column | None = None) -> Column:
+    none = (F.size(a["normal"]) <= 0) | (F.size(b["normal"]) <= 0)
+    same, same_base = F.arrays_overlap(a["normal"], b["normal"]), F.arrays_overlap(a["base"], b["base"])
+    return F.when(F.coalesce(none, F.lit(True)), 0.3).when(same, 1.0).when(same_base, 0.7).otherwise(F.lit(0.0) if residue is None else residue)
+
+
 def score_oem(a: Column, b: Column, residue: Column | None = None) -> Column:
     """Shared references 1, shared base numbers .7, else `residue` (similar spelling, .5 or 0); .3 without references."""
-    a, b = F.transform(a, X.normal_reference), F.transform(b, X.normal_reference)
-    none = (F.size(a) <= 0) | (F.size(b) <= 0)
-    same_base = F.arrays_overlap(F.transform(a, X.base_reference), F.transform(b, X.base_reference))
-    return F.when(F.coalesce(none, F.lit(True)), 0.3).when(F.arrays_overlap(a, b), 1.0).when(same_base, 0.7).otherwise(F.lit(0.0) if residue is None else residue)
+    return compare_references(reference_forms(a), reference_forms(b), residue)
+
+
+def category_form(category: Column) -> Column:
+    """A category without case and edges, and its words."""
+    return F.struct(F.lower(F.trim(category)).alias("name"), X.words(category).alias("words"))
+
+
+def compare_categories(a: Column, b: Column) -> Column:
+    overlap = F.try_divide(F.size(F.array_intersect(a["words"], b["words"])), F.greatest(F.size(a["words"]), F.size(b["words"])))
+    missing = F.coalesce(a["name"] == "", F.lit(True)) | F.coalesce(b["name"] == "", F.lit(True))
+    return F.when(missing, 0.3).when(a["name"] == b["name"], 1.0).when(overlap >= 0.75, 0.8).when(overlap >= 0.4, 0.5).otherwise(0.0)
 
 
 def score_category(a: Column, b: Column) -> Column:
     """Equal 1; shared words over the larger set: .8 from .75, .5 from .4, else 0; .3 if either is missing."""
-    left, right = X.words(a), X.words(b)
-    overlap = F.try_divide(F.size(F.array_intersect(left, right)), F.greatest(F.size(left), F.size(right)))
-    missing = F.coalesce(F.trim(a) == "", F.lit(True)) | F.coalesce(F.trim(b) == "", F.lit(True))
-    return F.when(missing, 0.3).when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).when(overlap >= 0.75, 0.8).when(overlap >= 0.4, 0.5).otherwise(0.0)
+    return compare_categories(category_form(a), category_form(b))
+
+
+def compare_words(a: Column, b: Column, kind: Column) -> Column:
+    """The words of two texts, those of the part type added to both."""
+    left, right = F.array_union(a, kind), F.array_union(b, kind)
+    j = X.jaccard(left, right)
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.3).when((j >= 0.25) & (F.size(kind) > 0), F.least(F.lit(1.0), j * 2.5)).when(j >= 0.3, j).when(j >= 0.1, 0.3).otherwise(0.1)
 
 
 def score_description(a: Column, b: Column, part_type: Column) -> Column:
     """Shared words of two texts, the part type added to both."""
-    extra = F.concat(F.lit(" "), F.coalesce(part_type, F.lit("")))
-    left, right, kind = X.telling_words(F.concat(F.coalesce(a, F.lit("")), extra)), X.telling_words(F.concat(F.coalesce(b, F.lit("")), extra)), X.telling_words(part_type)
-    j = X.jaccard(left, right)
-    both = F.arrays_overlap(left, kind) & F.arrays_overlap(right, kind)
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.3).when((j >= 0.25) & both, F.least(F.lit(1.0), j * 2.5)).when(j >= 0.3, j).when(j >= 0.1, 0.3).otherwise(0.1)
+    return compare_words(X.telling_words(a), X.telling_words(b), X.telling_words(part_type))
 
 
 def years_in(text: Column, compat: bool = False) -> Column:
@@ -50,30 +71,46 @@ def makes_in(text: Column) -> Column:
     return F.array_distinct(found)
 
 
+def fitment_form(text: Column, compat: bool = False) -> Column:
+    """The years and makes that a text names."""
+    return F.struct(years_in(text, compat).alias("years"), makes_in(text).alias("makes"))
+
+
+def compare_fitments(a: Column, b: Column) -> Column:
+    some = lambda x: (F.size(x["years"]) > 0) | (F.size(x["makes"]) > 0)
+    years, makes = F.arrays_overlap(a["years"], b["years"]), F.arrays_overlap(a["makes"], b["makes"])
+    return F.when(~(some(a) & some(b)), 0.4).when(years & makes, 1.0).when(makes, 0.6).when(years, 0.5).otherwise(0.0)
+
+
 def score_fitment(a: Column, b: Column, compat: bool = False) -> Column:
     """Years and makes shared 1, makes .6, years .5, neither 0; .4 if a text names none."""
-    ya, yb, ma, mb = years_in(a, compat), years_in(b, compat), makes_in(a), makes_in(b)
-    some = lambda y, m: (F.size(y) > 0) | (F.size(m) > 0)
-    years, makes = F.arrays_overlap(ya, yb), F.arrays_overlap(ma, mb)
-    return F.when(~(some(ya, ma) & some(yb, mb)), 0.4).when(years & makes, 1.0).when(makes, 0.6).when(years, 0.5).otherwise(0.0)
+    return compare_fitments(fitment_form(a, compat), fitment_form(b, compat))
 
 
-def score_specs(a: Column, b: Column) -> Column:
-    """Matching over shared fields, numbers within eight per cent; .3 without shared fields, .4 without a table."""
-    norm = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s+", " ").alias("key"), F.lower(F.trim(e["value"])).alias("value")))))
-    left, right = norm(a), norm(b)
+def spec_form(table: Column) -> Column:
+    """A spec table by normal field names: each value in lower case and the mean of the numbers in it."""
+    text = lambda e: F.lower(F.trim(e["value"]))
+    entry = lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s+", " ").alias("key"), F.struct(text(e).alias("text"), X.mean_of(X.numbers(text(e))).alias("mean")).alias("value"))
+    return F.map_from_entries(F.array_distinct(F.transform(F.map_entries(table), entry)))
+
+
+def compare_specs(left: Column, right: Column) -> Column:
     shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
 
     def same(key: Column) -> Column:
         x, y = F.element_at(left, key), F.element_at(right, key)
-        mx, my = X.mean_of(X.numbers(x)), X.mean_of(X.numbers(y))
-        near = F.coalesce((mx == my) | (F.abs(mx - my) <= TOLERANCE * F.greatest(mx, my)), F.lit(False))
-        return (x == y) | near
+        near = (x["mean"] == y["mean"]) | (F.abs(x["mean"] - y["mean"]) <= TOLERANCE * F.greatest(x["mean"], y["mean"]))
+        return (x["text"] == y["text"]) | F.coalesce(near, F.lit(False))
 
-    empty = F.coalesce(F.size(a) <= 0, F.lit(True)) | F.coalesce(F.size(b) <= 0, F.lit(True))
+    empty = F.coalesce(F.size(left) <= 0, F.lit(True)) | F.coalesce(F.size(right) <= 0, F.lit(True))
     return F.when(empty, 0.4).when(F.size(shared) == 0, 0.3).otherwise(F.size(F.filter(shared, same)) / F.size(shared))
 
 
+def score_specs(a: Column, b: Column) -> Column:
+    """Matching over shared fields, numbers within eight per cent; .3 without shared fields, .4 without a table."""
+    return compare_specs(spec_form(a), spec_form(b))
+
+
 def score_visual(url_a: Column, url_b: Column, hash_a: Column, hash_b: Column) -> Column:
     """One image 1, equal content .95, else unknown .4."""
     return F.when(F.coalesce((url_a != "") & (url_a == url_b), F.lit(False)), 1.0).when(F.coalesce(hash_a == hash_b, F.lit(False)), 0.95).otherwise(0.4)
@@ -122,17 +159,26 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 def pairs(spark: SparkSession, sf: str, reach: int = 4) -> DataFrame:
     """Pairs of parts at most `reach` keys apart: an equality on the key of the second, so pairs grow with the parts."""
     obs = observations(spark, sf)
+    obs = obs.select("*", *[form().alias(name) for name, form in FORMS.items()])
     a = obs.select(*[F.col(c).alias(f"a_{c}") for c in obs.columns], F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step"))
     b = obs.select(*[F.col(c).alias(f"b_{c}") for c in obs.columns])
     return a.join(b, F.col("a_part") + F.col("step") == F.col("b_part"))
 
 
+#: What scored() and predict_match() compare of each part.
+FORMS = {
+    "f_refs": lambda: reference_forms(F.col("refs")), "f_category": lambda: category_form(F.col("category")), "f_kind": lambda: X.telling_words(F.col("category")),
+    "f_words": lambda: X.telling_words(F.col("description")), "f_fitment": lambda: fitment_form(F.col("description")), "f_specs": lambda: spec_form(F.col("specs")),
+    "f_bag": lambda: F.array_distinct(F.split(F.lower("description"), " ")),
+}
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col
+    a, b = (lambda x: F.col(f"a_{x}")), (lambda x: F.col(f"b_{x}"))
     return pairs(spark, sf).select(
-        "a_part", "b_part", "a_category", "b_category", "a_brand", "b_brand", "a_refs", "b_refs", "a_description", "b_description", (F.size("a_refs") + F.size("b_refs") > 0).alias("both_found"),
-        score_oem(c("a_refs"), c("b_refs")).alias("s_oem"), score_category(c("a_category"), c("b_category")).alias("s_category"), F.round(score_description(c("a_description"), c("b_description"), c("a_category")), 6).alias("s_description"),
-        score_fitment(c("a_description"), c("b_description")).alias("s_fitment"), score_specs(c("a_specs"), c("b_specs")).alias("s_specs"), score_visual(c("a_url"), c("b_url"), c("a_hash"), c("b_hash")).alias("s_visual"),
+        "a_part", "b_part", "a_category", "b_category", "a_brand", "b_brand", "a_refs", "b_refs", "a_f_refs", "b_f_refs", "a_f_bag", "b_f_bag", (F.size("a_refs") + F.size("b_refs") > 0).alias("both_found"),
+        compare_references(a("f_refs"), b("f_refs")).alias("s_oem"), compare_categories(a("f_category"), b("f_category")).alias("s_category"), F.round(compare_words(a("f_words"), b("f_words"), a("f_kind")), 6).alias("s_description"),
+        compare_fitments(a("f_fitment"), b("f_fitment")).alias("s_fitment"), compare_specs(a("f_specs"), b("f_specs")).alias("s_specs"), score_visual(a("url"), b("url"), a("hash"), b("hash")).alias("s_visual"),
     )
 
 
@@ -179,8 +225,8 @@ def verdict_query(spark: SparkSession, sf: str) -> DataFrame:
 @register("score_oem_full")
 def score_oem_full(spark: SparkSession, sf: str) -> DataFrame:
     """P01 with C08: Python sees only the pairs that references and base numbers leave undecided."""
-    rows = scored(spark, sf).select("a_part", "b_part", "a_refs", "b_refs", "s_oem")
-    ratio = X.sequence_ratio(X.normal_reference(F.col("a_refs")[0]), X.normal_reference(F.col("b_refs")[0]))
+    rows = scored(spark, sf).select("a_part", "b_part", "a_f_refs", "b_f_refs", "s_oem")
+    ratio = X.sequence_ratio(F.col("a_f_refs.normal")[0], F.col("b_f_refs.normal")[0])
     rest = rows.filter("s_oem = 0").withColumn("score", F.when(ratio >= RATIO, 0.5).otherwise(0.0)).select("a_part", "b_part", "score")
     return rows.filter("s_oem <> 0").select("a_part", "b_part", F.col("s_oem").alias("score")).unionByName(rest)
 
@@ -215,10 +261,8 @@ _LIMIT = lambda i: "CASE a_category " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k
 def predict_match(spark: SparkSession, sf: str) -> DataFrame:
     """A quick prediction from references, category, whole words, specs and brands, before any scoring."""
     c = F.col
-    bag = lambda x: F.array_distinct(F.split(F.lower(x), " "))
-    refs = lambda x: F.transform(x, X.normal_reference)
-    oem = F.coalesce(X.jaccard(refs(c("a_refs")), refs(c("b_refs"))), F.lit(0.0))
-    score = oem * 40 + F.when(c("a_category") == c("b_category"), 20.0).otherwise(0.0) + 15.0 * X.jaccard(bag(c("a_description")), bag(c("b_description"))) + 15 * c("s_specs") + F.when(c("a_brand") == c("b_brand"), 10.0).otherwise(3.0)
+    oem = F.coalesce(X.jaccard(c("a_f_refs.normal"), c("b_f_refs.normal")), F.lit(0.0))
+    score = oem * 40 + F.when(c("a_category") == c("b_category"), 20.0).otherwise(0.0) + 15.0 * X.jaccard(c("a_f_bag"), c("b_f_bag")) + 15 * c("s_specs") + F.when(c("a_brand") == c("b_brand"), 10.0).otherwise(3.0)
     factor = chain([(F.upper("a_brand") == k, v[0]) for k, v in BRAND_FACTORS.items()], 1.0)
     boost = chain([(F.upper("a_brand") == k, float(v[1])) for k, v in BRAND_FACTORS.items()], 0.0)
     label, confidence = predicted(F.round(score * factor, 9), c("a_category"), boost)
@@ -228,7 +272,7 @@ def predict_match(spark: SparkSession, sf: str) -> DataFrame:
 @register("obvious_pairs", _SCORED + "SELECT a_part, b_part, CASE WHEN a_ref = b_ref AND a_brand <> b_brand THEN 'YES' WHEN a_category <> b_category AND s_oem = 0 THEN 'NO' ELSE 'OPEN' END AS screen FROM s")
 def obvious_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that need no scoring: one number under two brands, or neither category nor reference in common."""
-    same = F.arrays_overlap(F.transform("a_refs", X.normal_reference), F.transform("b_refs", X.normal_reference))
+    same = F.arrays_overlap("a_f_refs.normal", "b_f_refs.normal")
     yes = F.coalesce(same, F.lit(False)) & (F.col("a_brand") != F.col("b_brand"))
     no = (F.col("a_category") != F.col("b_category")) & (F.col("s_oem") == 0)
     return scored(spark, sf).select("a_part", "b_part", chain([(yes, "YES"), (no, "NO")], "OPEN").alias("screen"))

@@ -9,21 +9,43 @@ from pyspark.sql.window import Window
 from interlace.plans.model import chain, match_rows, WITH
 from interlace.plans.registry import read, register
 
+#: Rows of a piece of a long group.
+PIECE = 10_000
 _EV = "WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
 
 
+def placed(rows: DataFrame, group: str, bucket: Column, order: list) -> DataFrame:
+    """rows with `pos`, the place of each in its group, and `n`, the rows of the group.
+
+    bucket is a coarser order than `order` in which no bucket holds much of a large group: places are counted inside the
+    buckets, and only the table of buckets is summed up along a group. Ties of `order` must not cross buckets.
+    """
+    rows = rows.withColumn("__bucket", bucket)
+    sums = rows.groupBy(group, "__bucket").agg(F.count("*").alias("__own"))
+    along = Window.partitionBy(group)
+    sums = sums.withColumn("__before", F.sum("__own").over(along.orderBy("__bucket")) - F.col("__own")).withColumn("n", F.sum("__own").over(along))
+    sums = sums.select(F.col(group).alias("__group"), F.col("__bucket").alias("__at"), "__before", "n")
+    inside = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(*order))
+    out = rows.withColumn("__inside", inside).join(sums, F.col(group).eqNullSafe(F.col("__group")) & F.col("__bucket").eqNullSafe(F.col("__at")))
+    return out.withColumn("pos", F.col("__before") + F.col("__inside")).drop("__bucket", "__inside", "__group", "__at", "__before")
+
+
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
     """Events with their place from the end and from the start in their type, and the number of the type."""
-    w = Window.partitionBy("event_type")
-    return read(spark, sf, "events").withColumns(
-        {"back": F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))), "pos": F.row_number().over(w.orderBy("ts", "event_id")), "n": F.count("*").over(w)}
-    )
+    rows = placed(read(spark, sf, "events"), "event_type", F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    return rows.withColumn("back", F.col("n") - F.col("pos") + 1)
+
+
+def newest(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """The n newest events of each type, with their place from the end: tasks drop what cannot be among them before the shuffle."""
+    back = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    return read(spark, sf, "events").withColumn("back", back).filter(F.col("back") <= n)
 
 
 @register("last_n", _EV + " SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS highest, CAST(count_if(value > 150) AS BIGINT) AS slow FROM e WHERE back <= 50 GROUP BY event_type")
 def last_n(spark: SparkSession, sf: str, n: int = 50) -> DataFrame:
     """The newest n samples of each stream."""
-    return numbered(spark, sf).filter(F.col("back") <= n).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("highest"), F.count_if(F.col("value") > 150).alias("slow"))
+    return newest(spark, sf, n).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("highest"), F.count_if(F.col("value") > 150).alias("slow"))
 
 
 def trend_label(slope: Column, n: Column, limit: float = 0.1) -> Column:
@@ -71,8 +93,9 @@ def rolling3(spark: SparkSession, sf: str) -> DataFrame:
 @register("recent_drop", _EV + " SELECT event_type, round(avg(value), 6) AS baseline, round(avg(value) FILTER (WHERE back <= 20), 6) AS recent, avg(value) - avg(value) FILTER (WHERE back <= 20) > 15 AS dropped FROM e GROUP BY 1")
 def recent_drop(spark: SparkSession, sf: str) -> DataFrame:
     """The last twenty against all; a drop of more than 15 is flagged."""
-    recent = F.avg(F.when(F.col("back") <= 20, F.col("value")))
-    return numbered(spark, sf).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("baseline"), F.round(recent, 6).alias("recent"), (F.avg("value") - recent > 15).alias("dropped"))
+    every = read(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("baseline"))
+    last = newest(spark, sf, 20).groupBy("event_type").agg(F.avg("value").alias("recent"))
+    return every.join(last, "event_type").select("event_type", F.round("baseline", 6).alias("baseline"), F.round("recent", 6).alias("recent"), (F.col("baseline") - F.col("recent") > 15).alias("dropped"))
 
 
 @register("quartile_drift", _EV + " , s AS (SELECT event_type, max(n) AS n, avg(value) FILTER (WHERE pos <= n // 4) AS first_quarter, avg(value) FILTER (WHERE back <= (n + 3) // 4) AS last_quarter FROM e GROUP BY 1) SELECT event_type, round(first_quarter, 6) AS first_quarter, round(last_quarter, 6) AS last_quarter, n >= 40 AND abs(last_quarter - first_quarter) > 10 AS drifted FROM s")
@@ -110,7 +133,7 @@ def zscore(spark: SparkSession, sf: str, limit: float = 2.0) -> DataFrame:
 def health_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Points of the last ten checks against the ten before, with ten per cent of slack."""
     points = chain([(F.col("value") < 50, 3), (F.col("value") < 150, 1)], 0)
-    out = numbered(spark, sf).groupBy("event_type").agg(F.sum(F.when(F.col("back") <= 10, points)).alias("recent"), F.sum(F.when(F.col("back").between(11, 20), points)).alias("before"))
+    out = newest(spark, sf, 20).groupBy("event_type").agg(F.sum(F.when(F.col("back") <= 10, points)).alias("recent"), F.sum(F.when(F.col("back").between(11, 20), points)).alias("before"))
     return out.withColumn("trend", chain([(F.col("recent") > 1.1 * F.col("before"), "improving"), (F.col("recent") < 0.9 * F.col("before"), "declining")], "stable"))
 
 
@@ -123,12 +146,18 @@ def running_cost(spark: SparkSession, sf: str, limit: float = 4000.0) -> DataFra
 
 
 @register("history_deviation", WITH + ", h AS (SELECT row_number, part_number, skp_part_number, confidence, avg(confidence) OVER (PARTITION BY supplier, part_type, match_result ORDER BY row_number, part_number, skp_part_number ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS mean FROM m WHERE confidence IS NOT NULL AND match_result <> '') SELECT row_number, part_number, skp_part_number, round(mean, 6) AS mean, coalesce(abs(confidence - mean) > 20, false) AS unusual FROM h")
-def history_deviation(spark: SparkSession, sf: str) -> DataFrame:
+def history_deviation(spark: SparkSession, sf: str, back: int = 50) -> DataFrame:
     """Confidence against the mean of up to fifty earlier rows of the same supplier, part type and verdict."""
-    keys = ["row_number", "part_number", "skp_part_number"]
-    w = Window.partitionBy("supplier", "part_type", "match_result").orderBy(*keys).rowsBetween(-50, -1)
+    keys, group = ["row_number", "part_number", "skp_part_number"], F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x1e")) for c in ("supplier", "part_type", "match_result")])
+    rows = match_rows(spark, sf).filter("confidence is not null and match_result <> ''").select(*keys, "confidence", group.alias("group"))
+    rows = placed(rows, "group", F.expr(f"row_number div {PIECE}"), keys)
+    # A group is cut into pieces of PIECE places; the last rows of a piece go before the next one, too.
+    own = F.expr(f"(pos - 1) div {PIECE}")
+    piece = F.when((F.col("pos") - 1) % PIECE >= PIECE - back, F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy("group", "piece").orderBy("pos").rowsBetween(-back, -1)
     mean = F.avg("confidence").over(w)
-    return match_rows(spark, sf).filter("confidence is not null and match_result <> ''").select(*keys, F.round(mean, 6).alias("mean"), F.coalesce(F.abs(F.col("confidence") - mean) > 20, F.lit(False)).alias("unusual"))
+    rows = rows.withColumn("own", own).withColumn("piece", F.explode(piece)).select(*keys, "own", "piece", F.round(mean, 6).alias("mean"), F.coalesce(F.abs(F.col("confidence") - mean) > 20, F.lit(False)).alias("unusual"))
+    return rows.filter("piece = own").select(*keys, "mean", "unusual")
 
 
 @register("streaks", "WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS island FROM events), s AS (SELECT user_id, bad, island, count(*) AS n FROM e GROUP BY ALL) SELECT user_id, coalesce(max(n) FILTER (WHERE bad), 0) AS worst, coalesce(max(n) FILTER (WHERE NOT bad), 0) AS best, CAST(count_if(bad AND n >= 2) AS BIGINT) AS slow_downs, CAST(count_if(NOT bad AND n >= 3) AS BIGINT) AS speed_ups FROM s GROUP BY 1")
@@ -148,8 +177,14 @@ def streaks(spark: SparkSession, sf: str) -> DataFrame:
 @register("ranks", "SELECT o_orderkey, rank() OVER w AS place, dense_rank() OVER w AS dense_place, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS quarter, lag(o_totalprice) OVER v AS before, lead(o_totalprice) OVER v AS after FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE)), v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks by priority, and the neighbours of each order of a customer."""
-    by_day, by_price = Window.partitionBy("o_orderpriority").orderBy(F.to_date("o_orderdate")), Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
     own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read(spark, sf, "orders").select(
-        "o_orderkey", F.rank().over(by_day).cast("long").alias("place"), F.dense_rank().over(by_day).cast("long").alias("dense_place"), F.ntile(4).over(by_price).cast("long").alias("quarter"), F.lag("o_totalprice").over(own).alias("before"), F.lead("o_totalprice").over(own).alias("after")
-    )
+    orders = read(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
+    # Ranks by day need the days only.
+    along = Window.partitionBy("o_orderpriority").orderBy("day")
+    days = orders.groupBy("o_orderpriority", "day").agg(F.count("*").alias("n"))
+    days = days.select("o_orderpriority", "day", (F.sum("n").over(along) - F.col("n") + 1).alias("place"), F.row_number().over(along).cast("long").alias("dense_place"))
+    rows = placed(orders, "o_orderpriority", F.floor(F.col("o_totalprice") / 100), ["o_totalprice", "o_orderkey"])
+    rows = rows.join(days, ["o_orderpriority", "day"])
+    size, larger = F.expr("n div 4"), F.expr("n % 4")
+    quarter = F.when(F.col("pos") <= larger * (size + 1), F.expr("(pos - 1) div (n div 4 + 1) + 1")).otherwise(F.expr("(pos - n % 4 - 1) div greatest(n div 4, 1) + 1"))
+    return rows.select("o_orderkey", "place", "dense_place", quarter.cast("long").alias("quarter"), F.lag("o_totalprice").over(own).alias("before"), F.lead("o_totalprice").over(own).alias("after"))
