@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words too common to tell parts apart.
-STOP_WORDS = "the and for with from this that are has not will each also your its per new all inc nos qty pcs part parts item oem fits".split()
+STOP_WORDS = [
+    "the", "and", "for", "with", "from", "this", "that", "are", "has", "not", "will", "each", "also", "your", "its", "per", "new", "all", "inc",
+    "nos", "qty", "pcs", "part", "parts", "item", "oem", "fits",
+]
 # Vehicle makes.
-MAKES = "Acura Audi BMW Buick Cadillac Chevrolet Chevy Chrysler Dodge Ford GMC Honda Hyundai Infiniti Jeep Kia Lexus Lincoln Mazda Mercedes Mercury Mitsubishi Nissan Pontiac Subaru Suzuki Toyota Volkswagen VW Volvo".split()
+MAKES = [
+    "Acura", "Audi", "BMW", "Buick", "Cadillac", "Chevrolet", "Chevy", "Chrysler", "Dodge", "Ford", "GMC", "Honda", "Hyundai", "Infiniti", "Jeep",
+    "Kia", "Lexus", "Lincoln", "Mazda", "Mercedes", "Mercury", "Mitsubishi", "Nissan", "Pontiac", "Subaru", "Suzuki", "Toyota", "Volkswagen", "VW",
+    "Volvo",
+]
 # Words that look like references but are page furniture.
-NOT_REFERENCES = "INCLUDES THERMOSTAT WARRANTY INFORMATION DETAILS MONTHS MILES LIMITED LIFETIME PLEASE CONTACT NUMBER RETURN POLICY".split()
+NOT_REFERENCES = [
+    "INCLUDES", "THERMOSTAT", "WARRANTY", "INFORMATION", "DETAILS", "MONTHS", "MILES", "LIMITED", "LIFETIME", "PLEASE", "CONTACT", "NUMBER", "RETURN",
+    "POLICY",
+]
 # Cells that count as blank.
 BLANKS = ("", "n/a", "na", "none", "-", "--", "0", ".", "tbd", "?")
 

@@ -6,6 +6,9 @@ the stream's own checkpoint beside them, and reads the files back, so a batch qu
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -98,20 +101,22 @@ KEEP, RECENT, DROP = 1000, 20, 15.0
 
 def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keep the last samples of a source; report each batch's mean, the recent mean and whether it fell."""
-    kept = list(state.get[0]) if state.exists else []
-    for batch in batches:
-        kept = (kept + batch.sort_values(["ts", "event_id"])["value"].tolist())[-KEEP:]
-    state.update((kept,))
-    recent = kept[-RECENT:]
-    mean, late = sum(kept) / len(kept), sum(recent) / len(recent)
-    yield pd.DataFrame({"event_type": [key[0]], "samples": [len(kept)], "baseline": [round(mean, 6)], "recent": [round(late, 6)], "dropped": [mean - late > DROP]})
+    kept = [tuple(x) for x in zip(*state.get)] if state.exists else []
+    for batch in batches:  # chunks of a group come in any order, so the samples keep their times
+        rows = zip(batch["ts"].astype("int64").tolist(), batch["event_id"].tolist(), batch["value"].tolist())
+        kept = heapq.nlargest(KEEP, itertools.chain(kept, rows))
+    state.update(tuple(map(list, zip(*kept))))
+    values = [x[2] for x in kept]  # the newest first
+    recent = values[:RECENT]
+    mean, late = math.fsum(values) / len(values), math.fsum(recent) / len(recent)
+    yield pd.DataFrame({"event_type": [key[0]], "samples": [len(values)], "baseline": [round(mean, 6)], "recent": [round(late, 6)], "dropped": [mean - late > DROP]})
 
 
 def anomaly_stream(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("event_type").applyInPandasWithState(watch, "event_type string, samples long, baseline double, recent double, dropped boolean", "kept array<double>", "append", "NoTimeout")
+    return stream.groupBy("event_type").applyInPandasWithState(watch, "event_type string, samples long, baseline double, recent double, dropped boolean", "ts array<long>, event_id array<long>, value array<double>", "append", "NoTimeout")
 
 
-@register("s_anomaly_state")
+@register("s_anomaly_state", f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events) SELECT event_type, count(*) AS samples, round(avg(value), 6) AS baseline, round(avg(value) FILTER (WHERE back <= {RECENT}), 6) AS recent, avg(value) - avg(value) FILTER (WHERE back <= {RECENT}) > {DROP} AS dropped FROM e WHERE back <= {KEEP} GROUP BY event_type")
 def anomaly_state(spark: SparkSession, sf: str) -> DataFrame:
     """Anomalies of each stream with bounded state."""
     return drain(anomaly_stream(events(spark, sf).select("event_type", "event_id", "ts", "value")))
