@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch handed to Python; long texts are bounded by the bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: Rows of a batch where few columns are read and more texts at once share more words; its bytes bound it too.
-WIDE_ROWS = 6000
+WIDE_ROWS = 4000
 
 #: A key with more rows than this, and than the HOT_SHARE-th part of all rows, is split by split_join().
 HOT_ROWS, HOT_SHARE = 1000, 10_000
@@ -40,24 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does after a collection.
 
-    The garbage collection that follows lets Spark delete the shuffle files that led to the table.
+    Without it they stay for up to spark.cleaner.periodicGC.interval, and a job of many steps holds the disk of all of them.
+    Only where the session runs in a JVM of its own; a remote (Connect) session is left to the server.
     """
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
+def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/interlace-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    spark._jvm.System.gc()
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_table(df: DataFrame) -> None:
-    """Delete the files of a table that materialise() wrote, by Spark's own file system classes."""
+    """Delete the files of a table that materialise() wrote, by Spark's own file system classes; a remote session keeps them."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    jvm = getattr(spark, "_jvm", None)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if jvm is not None else ():
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -18,43 +18,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import GROUP_BYTES, LOWER, SPACE, bytes_of, groups
+
 #: Segments that a worker's cache holds at most before it starts again, and the longest that is kept (in characters).
-CACHE_SEGMENTS, CACHE_CHARS = 1_500_000, 60
-#: Bytes of texts that are cut at once, and segments that one call of the library encodes.
-GROUP_BYTES, CALL_SEGMENTS = 8 << 20, 1000
+CACHE_SEGMENTS, CACHE_CHARS = 500_000, 60
+#: Segments that one call of the library encodes.
+CALL_SEGMENTS = 1000
 
 _ASCII = [chr(c) for c in range(33, 127)]
-_SPACE, _CUT, _BEFORE, _LEAD = (np.zeros(256, bool) for _ in range(4))
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CUT, _BEFORE, _LEAD = (np.zeros(256, bool) for _ in range(3))
 #: Punctuation that starts a segment after a letter or digit: not the apostrophe, with which contractions begin.
 _CUT[[ord(c) for c in _ASCII if not c.isalnum() and c != "'"]] = True
 #: What may end a letter or digit: ASCII ones, and the second byte of a letter from U+00C0 to U+00FF.
 _BEFORE[[ord(c) for c in _ASCII if c.isalnum()]] = True
 _BEFORE[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 _LATIN = 0xC3
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: First bytes of characters that a tokenizer may take for white space though no segment is cut there: such texts go whole.
 _LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def ranges(sizes: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours whose sizes add up to limit at most; a larger one is a range of its own."""
-    ends, start = np.cumsum(sizes), 0
-    while start < len(ends):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
-        yield start, stop
-        start = stop
-
-
-def _bytes_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the texts and where each begins in them, with the end of the last."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
 class Encoder:
     """Ids of texts under one tokenizer file, as unsigned 32-bit numbers."""
 
@@ -111,7 +94,7 @@ class Encoder:
 
     def _cut(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where segments begin in the bytes of texts that begin at `begins` (with the end of the last)."""
-        space, cut = _SPACE[data], np.zeros(len(data) + 1, bool)
+        space, cut = SPACE[data], np.zeros(len(data) + 1, bool)
         cut[1:-1] = space[1:] & ~space[:-1]
         at = np.flatnonzero(_CUT[data])
         at = at[at > 1]
@@ -121,11 +104,11 @@ class Encoder:
         return np.flatnonzero(cut).astype(np.int32)
 
     def _group(self, texts: pa.StringArray) -> list[np.ndarray]:
-        data, begins = _bytes_of(texts)
+        data, begins = bytes_of(texts)
         if not len(data):
             return [np.empty(0, np.uint32)] * len(texts)
         if self.lowers:
-            data = _LOWER[data]
+            data = LOWER[data]
         starts = self._cut(data, begins)
         segments = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
         slots, (n_slots, n_ids) = self._slots(segments.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -139,10 +122,8 @@ class Encoder:
 
     def encode_array(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
         """The ids of each text in their order; none for an empty or null one. Long arrays are encoded in groups."""
-        texts = pc.fill_null(texts, "")
-        for a, b in ranges(np.diff(_bytes_of(texts)[1])):
-            group = texts[a:b]
-            if self.drops_space or not _LEAD[_bytes_of(group)[0]].any():
+        for group in groups(texts, GROUP_BYTES):
+            if self.drops_space or not _LEAD[bytes_of(group)[0]].any():
                 yield from self._group(group)
                 continue
             odd = pc.match_substring_regex(group, _ODD)

@@ -28,15 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, delete_table, materialise, table, text_of
+from .common import arrow_limits, delete_table, materialise, split_join, table, text_of
+from .words import groups, word_hashes
 
 LENGTH, GRAM, WINDOW = 400, 16, 180
 #: The stage cuts passages of WORDS words or more; a word's digest has WORD bytes.
 WORDS, WORD = 51, 6
 #: Positions handled at once by the sampling, and batches that the query cuts its texts into.
 PIECE, BATCHES = 1 << 19, 2
-#: Stretches of one group compared in one task; larger groups are cut by the place of the sample in the string.
-GROUP = 4000
+#: Stretches of one group that one task compares; of larger groups digests are counted, by bands of STEP distances first.
+GROUP, STEP = 4000, 12
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A sample's place: its offset in the text, how far the first string starts before it, and how many strings it stands for.
 _SHIFT = 10
@@ -109,15 +110,15 @@ class SuffixFamily:
 
     def _array(self, rows: DataFrame) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # By both digests: a passage that a third of the texts share is one a with as many u as it has neighbourhoods.
-        return materialise(rows.repartition(n, "a", "u").sortWithinPartitions("a", "u"), "level")
+        # The text has a part in it: a passage that a third of the texts share is one a, and one u if they go on alike.
+        return materialise(rows.repartition(n, "a", F.pmod("text_id", F.lit(n))).sortWithinPartitions("a", "u"), "level")
 
     def scan(self, fresh: DataFrame) -> DataFrame:
-        """(a): digests of the new level that occur twice or more in it and the levels together."""
+        """(a, n): digests of the new level that occur twice or more in it and the levels together, and how often."""
         rows = fresh.select("a", F.lit(1).alias("fresh"))
         for _, level in self.levels:
             rows = rows.union(level.select("a", F.lit(0)))
-        return rows.groupBy("a").agg(F.count("*").alias("n"), F.max("fresh").alias("fresh")).filter("n > 1 and fresh = 1").select("a")
+        return rows.groupBy("a").agg(F.count("*").alias("n"), F.max("fresh").alias("fresh")).filter("n > 1 and fresh = 1").select("a", "n")
 
     def add(self, texts: DataFrame) -> None:
         """Index a batch of (text_id, text), note its matches with itself and all levels, and merge equal levels."""
@@ -137,7 +138,9 @@ class SuffixFamily:
             rows = rows.union(level)
         for more in self.matches[1:]:
             found = found.union(more)
-        return rows.join(found.distinct(), "a", "left_semi")
+        # The last batch that has a digest counted all its samples.
+        found = found.groupBy("a").agg(F.max("n").alias("n"))
+        return split_join(rows, found, ["a"], rows.count(), ["text_id", "place"], "left_semi")
 
 
 def _place(column: str = "place") -> tuple[Column, Column, Column]:
@@ -148,7 +151,7 @@ def _place(column: str = "place") -> tuple[Column, Column, Column]:
 
 def stretches(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """The bytes that the wanted samples' strings cover, for each text and its list of wanted samples."""
-    schema = pa.schema([("a", pa.int64()), ("text_id", pa.int64()), ("place", pa.int64()), ("slices", pa.int32()), ("alone", pa.bool_()), ("bytes", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("text_id", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("bytes", pa.binary())])
     mask = (1 << _SHIFT) - 1
     for batch in batches:
         out = []
@@ -156,7 +159,7 @@ def stretches(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
             raw = text if isinstance(text, bytes) else text.encode()
             for w in wanted:
                 first = (w["place"] >> 2 * _SHIFT) - (w["place"] >> _SHIFT & mask)
-                out.append((w["a"], text_id, w["place"], w["slices"], w["alone"], raw[first : first + (w["place"] & mask) - 1 + length]))
+                out.append((w["a"], text_id, w["place"], w["alone"], raw[first : first + (w["place"] & mask) - 1 + length]))
             if len(out) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -165,10 +168,9 @@ def stretches(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterat
 
 
 def repeated_strings(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """(text_id, start, stop): covered spans, by comparing the strings of each group (a, slice); rows come sorted by it.
+    """(text_id, start, stop): covered spans, by comparing the strings of each group a; rows come sorted by it.
 
-    Strings are compared by 128-bit digests, at the same distance before the sample. A slice has the distances that leave
-    its number modulo the slices of the group.
+    Groups have GROUP stretches at most. Strings are compared by 128-bit digests, at the same distance before the sample.
     """
     digest = xxhash.xxh3_128_digest
     mask = (1 << _SHIFT) - 1
@@ -177,16 +179,16 @@ def repeated_strings(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
     def compare() -> list[tuple[int, int, int]]:
         seen: Counter = Counter()
         lists = []
-        for text_id, place, slices, number, alone, raw in group:
+        for text_id, place, alone, raw in group:
             before, n = place >> _SHIFT & mask, place & mask
-            own = [(i, digest(raw[i : i + length]) + (before - i).to_bytes(2, "little")) for i in range(n) if (before - i) % slices == number]
-            seen.update(d for _, d in own)
+            own = [digest(raw[i : i + length]) + (before - i).to_bytes(2, "little") for i in range(n)]
+            seen.update(own)
             if alone:
                 lists.append((text_id, (place >> 2 * _SHIFT) - before, own))
         found = []
         for text_id, first, own in lists:
             span = None
-            for i, d in own:
+            for i, d in enumerate(own):
                 if seen[d] > 1:
                     if span and first + i <= span[1]:
                         span[1] = first + i + length
@@ -200,11 +202,11 @@ def repeated_strings(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
 
     for batch in batches:
         found = []
-        for a, *row in zip(*(batch.column(c).to_pylist() for c in ("a", "text_id", "place", "slices", "slice", "alone", "bytes"))):
-            if (a, row[3]) != now:
+        for a, *row in zip(*(batch.column(c).to_pylist() for c in ("a", "text_id", "place", "alone", "bytes"))):
+            if a != now:
                 if len(group) > 1:
                     found += compare()
-                now, group = (a, row[3]), []
+                now, group = a, []
             group.append(tuple(row))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["text_id", "start", "stop"])
@@ -212,6 +214,73 @@ def repeated_strings(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["text_id", "start", "stop"])
 
 
+def probes(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """(a, band, core, whole, text_id, place, alone) for each band of STEP distances in which a stretch has strings.
+
+    core digests what all strings of the band share, whole what they cover together; whole is null if some are missing.
+    """
+    digest, mask = xxhash.xxh3_128_digest, (1 << _SHIFT) - 1
+    names = ["a", "band", "core", "whole", "text_id", "place", "alone"]
+    for batch in batches:
+        out = []
+        for a, text_id, place, alone, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "text_id", "place", "alone", "bytes"))):
+            before, n = place >> _SHIFT & mask, place & mask  # strings at distances before, before - 1, .. before - n + 1
+            for band in range((before - n + 1) // STEP, before // STEP + 1):
+                low, high = band * STEP, band * STEP + STEP - 1
+                full = high <= before and low >= before - n + 1
+                out.append((a, band, digest(raw[before - low : before - high + length]), digest(raw[before - high : before - low + length]) if full else None, text_id, place, alone))
+        if out:
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def strings_of_bands(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """(a, distance, string, text_id, start, asks): a digest for each string of the wanted bands of the stretches."""
+    digest, mask = xxhash.xxh3_128_digest, (1 << _SHIFT) - 1
+    names = ["a", "distance", "string", "text_id", "start", "asks"]
+    for batch in batches:
+        out = []
+        for a, text_id, place, raw, bands in zip(*(batch.column(c).to_pylist() for c in ("a", "text_id", "place", "bytes", "bands"))):
+            before, n, at = place >> _SHIFT & mask, place & mask, place >> 2 * _SHIFT
+            for b in bands:
+                for d in range(max(b["band"] * STEP, before - n + 1), min(b["band"] * STEP + STEP - 1, before) + 1):
+                    out.append((a, d, digest(raw[before - d : before - d + length]), text_id, at - d, b["asks"]))
+        if out:
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def large_groups(cut: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(text_id, start, stop) for groups a of any size, from their stretches: what repeated_strings() finds, but counted.
+
+    No task holds a group. Digests are counted by aggregations with a map-side combine, first of bands of STEP distances:
+    a band whose core is alone has no repeat, one whose whole repeats is repeats only. Of the rest each string is counted.
+    """
+    cut = materialise(cut, "stretches")
+    rows = materialise(cut.mapInArrow(partial(probes, length=length), "a long, band int, core binary, whole binary, text_id long, place long, alone boolean"), "probes")
+    total, own = rows.count(), ["text_id", "place"]
+    cores = materialise(rows.groupBy("a", "band", "core").agg(F.count("*").alias("n")).filter("n > 1"), "cores")
+    one = F.min(F.struct("text_id", "place")).alias("one")
+    wholes = rows.filter("whole is not null").groupBy("a", "band", "whole").agg(F.count("*").alias("n"), one).filter("n > 1")
+    wholes = materialise(wholes, "wholes")
+    same = F.col("whole").isNotNull() & F.col("n_whole").isNotNull()
+    marked = wholes.select("a", "band", "whole", "n", F.col("n").alias("n_whole"), "one")
+    rows = split_join(rows, marked, ["a", "band", "whole"], total, own, "left")
+    sample, _, _ = _place()
+    sure = rows.filter(same & F.col("alone")).select("text_id", (sample - F.col("band") * STEP - (STEP - 1)).alias("start"), (sample - F.col("band") * STEP + length).alias("stop"))
+    # One stretch of each repeated whole stands for the others where single strings are counted.
+    asks = ~same & F.col("alone")
+    rest = rows.filter(~same | (F.col("one") == F.struct("text_id", "place"))).select("a", "band", "core", *own, asks.alias("asks"))
+    rest = split_join(rest, cores, ["a", "band", "core"], total, own, "left_semi")
+    bands = rest.groupBy("a", *own).agg(F.collect_list(F.struct("band", "asks")).alias("bands"))  # a row for each band at most
+    strings = cut.join(bands, ["a", *own]).select("a", *own, "bytes", "bands").mapInArrow(partial(strings_of_bands, length=length), "a long, distance int, string binary, text_id long, start long, asks boolean")
+    strings = materialise(strings, "strings")
+    again = materialise(strings.groupBy("a", "distance", "string").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    found = split_join(strings.filter("asks"), again, ["a", "distance", "string"], strings.count(), ["text_id", "start"], "left_semi")
+    delete_table(cut)
+    return sure.unionByName(found.select("text_id", "start", (F.col("start") + length).alias("stop")))
+
+
 def distinct_texts(docs: DataFrame, text: str, least: int = LENGTH) -> DataFrame:
     """(sha, text, copies, text_id) of the texts with `least` bytes or more, each once: copies meet before any shuffle."""
     rows = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= least)
@@ -221,7 +290,7 @@ def distinct_texts(docs: DataFrame, text: str, least: int = LENGTH) -> DataFrame
 
 
 def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
-    """(text_id, start, stop): spans that cover the bytes to remove, in any order and overlapping."""
+    """(text_id, start, stop): a table of spans that cover the bytes to remove, in any order and overlapping."""
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     family = SuffixFamily(spark, length)
@@ -230,17 +299,30 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGT
     rows = materialise(family.candidates(), "candidates")
     for _, level in family.levels:
         delete_table(level)
+    total = rows.count()
     pairs = materialise(rows.groupBy("a", "u").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one")), "pairs")
     sample, before, count = _place()
-    sure = rows.join(pairs.filter("n > 1").select("a", "u"), ["a", "u"], "left_semi").select("text_id", (sample - before).alias("start"), (sample - before + count - 1 + length).alias("stop"))
+    sure = split_join(rows, pairs.filter("n > 1").select("a", "u", "n"), ["a", "u"], total, ["text_id", "place"], "left_semi")
+    sure = sure.select("text_id", (sample - before).alias("start"), (sample - before + count - 1 + length).alias("stop"))
     # Groups with several u: one text for each u is enough to compare with, and needs an answer itself if it is alone.
-    mixed = pairs.groupBy("a").agg(F.count("*").alias("nu"), F.min("n").alias("least")).filter("nu > 1 and least = 1").select("a", F.least(F.ceil(F.col("nu") / GROUP), F.lit(WINDOW)).cast("int").alias("slices"))
-    wanted = pairs.join(mixed, "a").select("one.text_id", F.struct("a", "one.place", "slices", (F.col("n") == 1).alias("alone")).alias("w")).groupBy("text_id").agg(F.collect_list("w").alias("wanted"))
-    cut = texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(partial(stretches, length=length), "a long, text_id long, place long, slices int, alone boolean, bytes binary")
-    cut = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).repartition(n, "a", "slice").sortWithinPartitions("a", "slice")
-    ends = cut.mapInArrow(partial(repeated_strings, length=length), "text_id long, start long, stop long")
+    mixed = pairs.groupBy("a").agg(F.count("*").alias("nu"), F.min("n").alias("least")).filter("nu > 1 and least = 1")
+    mixed = materialise(mixed.select("a", "nu", F.col("nu").alias("n")), "mixed")
+    ones = pairs.select("a", "one.*", (F.col("n") == 1).alias("alone"))
+    ones = materialise(split_join(ones, mixed, ["a"], total, ["text_id", "place"]), "ones")
+
+    def cut(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("text_id").agg(F.collect_list(F.struct("a", "place", "alone")).alias("wanted"))
+        return texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(partial(stretches, length=length), "a long, text_id long, place long, alone boolean, bytes binary")
+
+    small = cut(ones.filter(F.col("nu") <= GROUP)).repartition(n, "a").sortWithinPartitions("a")
+    ends = small.mapInArrow(partial(repeated_strings, length=length), "text_id long, start long, stop long")
+    if not mixed.filter(F.col("nu") > GROUP).isEmpty():
+        ends = ends.unionByName(large_groups(cut(ones.filter(F.col("nu") > GROUP)), length))
     copies = texts.filter("copies > 1").select("text_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))
-    return sure.unionByName(ends).unionByName(copies)
+    spans = materialise(sure.unionByName(ends).unionByName(copies), "spans")
+    for done in (rows, pairs, mixed, ones, *family.matches):
+        delete_table(done)
+    return spans
 
 
 def merge_spans(spans: list[dict]) -> list[list[int]]:
@@ -270,7 +352,8 @@ def changed_texts(docs: DataFrame, text: str = "text", batches: int = BATCHES) -
     """(sha, n_removed, n_spans, kept_sha256, kept_text) of the texts that lose bytes; sha is the digest of the text."""
     arrow_limits(docs.sparkSession)
     texts = distinct_texts(docs, text)
-    spans = repeated_spans(texts, batches).groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(texts, batches)
+    spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans")
     return rows.mapInArrow(cut_texts, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
@@ -290,18 +373,15 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: in
 
 def word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts with the digests of their words in place of them."""
-    known: dict[bytes, bytes] = {}
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            if len(known) > 1 << 18:
-                known.clear()
-            words = text.encode().split()
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh64_digest(w)[:WORD]
-            out.append(b"".join([known[w] for w in words]))
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(out, pa.binary()))
+        at, done = batch.schema.get_field_index("text"), 0
+        for texts in groups(batch.column(at)):
+            hashes, begins = word_hashes(texts, False)
+            digests = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD])
+            offsets = (begins * WORD).astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(digests)])
+            yield batch.slice(done, len(texts)).set_column(at, "text", made)
+            done += len(texts)
 
 
 def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +402,7 @@ def without_passages(docs: DataFrame, text: str = "text", batches: int = BATCHES
     """(sha, kept_text) of the texts that lose passages of WORDS words or more which also start elsewhere."""
     arrow_limits(docs.sparkSession)
     texts = distinct_texts(docs, text, 2 * WORDS - 1)
+    # Computed where it is read: as large as the texts and not to be compressed, it would cost more on disk.
     digests = texts.mapInArrow(word_digests, "sha string, text binary, copies long, text_id long").filter(F.octet_length("text") >= WORDS * WORD)
     spans = repeated_spans(digests, batches, WORDS * WORD).groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans").mapInArrow(cut_words, "sha string, kept_text string")

@@ -4,11 +4,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from interlace.llm import bitplanes, encode
+from interlace.llm import bitplanes, encode, words
 
 from .cases import LONG, documents, empty
 
@@ -69,4 +70,16 @@ def test_long_segments_are_not_kept(monkeypatch):
     plain = Tokenizer.from_file(BYTE)
     assert [i.tolist() for i in encoder.encode_array(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert max(map(len, encoder.slot)) <= encode.CACHE_CHARS
-    assert list(encode.ranges(np.array([30, 30, 80, 10, 10]), 50)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    assert list(words.ranges(np.array([30, 30, 80, 10, 10]), 50)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+
+
+def test_hashes_of_words_follow_their_definition():
+    texts = ["", "One  two\n", None, " \t", "É é\x85x Two", "two", "a" * 70, " b"]
+    for fold in (False, True):
+        hashes, begins = words.word_hashes(pa.array([t or "" for t in texts]), fold)
+        assert len(begins) == len(texts) + 1
+        for t, a, b in zip(texts, begins, begins[1:]):
+            raw = (t or "").encode()
+            want = [xxhash.xxh64_intdigest(w, 42) for w in (raw.lower() if fold else raw).split()]
+            assert hashes[a:b].tolist() == want
+    assert [len(g) for g in words.groups(pa.array(["aa", None, "bbbb", "c"]), 3)] == [2, 1, 1]

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from interlace.llm import suffixes
+from interlace.llm import common, suffixes
 from pyspark.sql import functions as F
 
 from .cases import LONG, PROSE, documents, empty
@@ -50,6 +50,19 @@ def test_removal_matches_brute_force(spark, monkeypatch, batches, group):
     assert got == want
 
 
+def test_a_passage_of_most_texts_is_split(spark, monkeypatch):
+    """700 texts share a passage among different neighbours: no group is held whole, no key joined in one piece."""
+    monkeypatch.setattr(suffixes, "GROUP", 50)
+    monkeypatch.setattr(common, "HOT_ROWS", 60)
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(2, 8))) for _ in range(n))
+    passage = words(110)
+    texts = [words(20) + " " + passage + " " + words(20) for _ in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffixes.remove(docs).orderBy("doc_id").collect()
+    assert [tuple(r[1:]) for r in rows] == brute(texts) and min(r.n_removed for r in rows) >= 400
+
+
 def test_small_pieces_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 333)
     texts = corpus()
