@@ -125,17 +125,24 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Null texts and texts under 50 words fail the base rules. Null strata form a stratum of their own. Repeated rows are
     judged alike. The counts are written to the shared folder, so that each text is counted once.
     """
-    counted = with_counts(docs.select(F.col(key), F.col(stratum).alias("stratum"), F.col(text)), text).select(key, "stratum", "q")
-    counted = materialise(counted, "quality")
-    cutoffs = certified(good_rows(counted, labels, key))
-    return verdicts(counted, cutoffs).select(key, "stratum", "q.*", "kept")
+    return judged(docs, labels, key, text, stratum).select(key, "stratum", "q.*", "kept")
+
+
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """(key, hash, stratum, q, kept) for every row of docs; hash is the XXH64 of the text."""
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("hash"), F.col(stratum).alias("stratum"), F.col(text))
+    counted = materialise(with_counts(rows, text).select(key, "hash", "stratum", "q"), "quality")
+    return verdicts(counted, certified(good_rows(counted, labels, key)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with."""
-    judged = judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("__id"))
-    # One verdict for each id is enough to keep its rows: equal ids with other texts are kept if one of them is.
-    return docs.join(judged.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The documents that the rules keep, with the columns they came with.
+
+    Rows with equal ids are told apart by their texts and strata.
+    """
+    kept = judged(docs, table(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("stratum").alias("__stratum")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__stratum"))
+    return docs.join(kept, same, "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
