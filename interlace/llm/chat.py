@@ -316,13 +316,15 @@ def compile_template(template: str) -> Callable[[list[dict]], tuple[str, list[tu
 def format_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, formatted, spans) for each conversation, turns in order of (turn, role, text).
 
-    Null roles and texts count as empty, null turns come first, repeated rows are separate turns; rows with a null
-    conv_id form one conversation. A conversation is one row of the output, so its turns meet in one row here too.
+    Null roles and texts count as empty, null turns come first, repeated rows are separate turns; each row with a null
+    conv_id is a conversation of its own, so that lost ids never meet in one row. A conversation is one row of the output,
+    so its turns meet in one row here too.
     """
     arrow_limits(turns.sparkSession)
     compile_template(template)  # errors show on the driver
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_list("m")).alias("messages")).select("conv_id", "messages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
@@ -374,11 +376,11 @@ def _sql_escaped(x: str) -> str:
 
 
 SQL = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, NULL, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
 c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
         CAST(sum(length(replace({_sql_escaped("role")}, chr(10), '\\n')) + length({_sql_escaped("text")}) + {len(CONTROLS[0]) + len(CONTROLS[1]) + 2}) AS BIGINT) AS formatted_chars
-      FROM t GROUP BY conv_id)
+      FROM t GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
 """
