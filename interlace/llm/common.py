@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,23 @@ def delete_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(function):
+    """The function for mapInArrow, and after a task's last batch the memory that Arrow and the C library hold unused goes back.
+
+    Spark keeps Python workers between tasks and stages, and an idle one would keep the most that it ever held.
+    """
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not the GNU C library
+            pass
+
+    return run
+
+
 def split_join(rows: DataFrame, wanted: DataFrame, keys: list[str], total: int, by: list[str], how: str = "inner") -> DataFrame:
     """rows joined with wanted on keys, where wanted has each key once and its number of rows in column n (not returned).
 

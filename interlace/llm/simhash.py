@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_SHARE, arrow_limits, materialise, table
+from .common import HOT_SHARE, arrow_limits, delete_table, materialise, table
 
 BITS, MAX_BITS, SHINGLE, SEED = 64, 3, 3, 42
 #: Homes that a task holds at an anchor, or the HOT_SHARE-th part of all if that is more; larger anchors are split into
@@ -174,7 +174,8 @@ def components(edges: DataFrame, nodes_name: str = "fp") -> DataFrame:
 
     before = state(edges)
     while True:
-        edges = materialise(star(star(edges, True), False), "edges")
+        earlier, edges = edges, materialise(star(star(edges, True), False), "edges")
+        delete_table(earlier)
         after = state(edges)
         if after == before:
             return edges.select(F.col("a").alias(nodes_name), F.col("b").alias("root"))

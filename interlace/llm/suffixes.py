@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, delete_table, materialise, split_join, table, text_of
+from .common import arrow_limits, delete_table, materialise, released, split_join, table, text_of
 from .words import groups, word_hashes
 
 LENGTH, GRAM, WINDOW = 400, 16, 180
@@ -122,7 +122,7 @@ class SuffixFamily:
 
     def add(self, texts: DataFrame) -> None:
         """Index a batch of (text_id, text), note its matches with itself and all levels, and merge equal levels."""
-        size, rows = 1, self._array(texts.select("text_id", "text").mapInArrow(partial(suffix_rows, length=self.length), "text_id long, place long, a long, u long"))
+        size, rows = 1, self._array(texts.select("text_id", "text").mapInArrow(released(partial(suffix_rows, length=self.length)), "text_id long, place long, a long, u long"))
         self.matches.append(materialise(self.scan(rows), "matches"))
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
@@ -257,7 +257,7 @@ def large_groups(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     a band whose core is alone has no repeat, one whose whole repeats is repeats only. Of the rest each string is counted.
     """
     cut = materialise(cut, "stretches")
-    rows = materialise(cut.mapInArrow(partial(probes, length=length), "a long, band int, core binary, whole binary, text_id long, place long, alone boolean"), "probes")
+    rows = materialise(cut.mapInArrow(released(partial(probes, length=length)), "a long, band int, core binary, whole binary, text_id long, place long, alone boolean"), "probes")
     total, own = rows.count(), ["text_id", "place"]
     cores = materialise(rows.groupBy("a", "band", "core").agg(F.count("*").alias("n")).filter("n > 1"), "cores")
     one = F.min(F.struct("text_id", "place")).alias("one")
@@ -273,7 +273,7 @@ def large_groups(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = rows.filter(~same | (F.col("one") == F.struct("text_id", "place"))).select("a", "band", "core", *own, asks.alias("asks"))
     rest = split_join(rest, cores, ["a", "band", "core"], total, own, "left_semi")
     bands = rest.groupBy("a", *own).agg(F.collect_list(F.struct("band", "asks")).alias("bands"))  # a row for each band at most
-    strings = cut.join(bands, ["a", *own]).select("a", *own, "bytes", "bands").mapInArrow(partial(strings_of_bands, length=length), "a long, distance int, string binary, text_id long, start long, asks boolean")
+    strings = cut.join(bands, ["a", *own]).select("a", *own, "bytes", "bands").mapInArrow(released(partial(strings_of_bands, length=length)), "a long, distance int, string binary, text_id long, start long, asks boolean")
     strings = materialise(strings, "strings")
     again = materialise(strings.groupBy("a", "distance", "string").agg(F.count("*").alias("n")).filter("n > 1"), "again")
     found = split_join(strings.filter("asks"), again, ["a", "distance", "string"], strings.count(), ["text_id", "start"], "left_semi")
@@ -312,10 +312,10 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGT
 
     def cut(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("text_id").agg(F.collect_list(F.struct("a", "place", "alone")).alias("wanted"))
-        return texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(partial(stretches, length=length), "a long, text_id long, place long, alone boolean, bytes binary")
+        return texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(released(partial(stretches, length=length)), "a long, text_id long, place long, alone boolean, bytes binary")
 
     small = cut(ones.filter(F.col("nu") <= GROUP)).repartition(n, "a").sortWithinPartitions("a")
-    ends = small.mapInArrow(partial(repeated_strings, length=length), "text_id long, start long, stop long")
+    ends = small.mapInArrow(released(partial(repeated_strings, length=length)), "text_id long, start long, stop long")
     if not mixed.filter(F.col("nu") > GROUP).isEmpty():
         ends = ends.unionByName(large_groups(cut(ones.filter(F.col("nu") > GROUP)), length))
     copies = texts.filter("copies > 1").select("text_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))
@@ -355,7 +355,7 @@ def changed_texts(docs: DataFrame, text: str = "text", batches: int = BATCHES) -
     spans = repeated_spans(texts, batches)
     spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans")
-    return rows.mapInArrow(cut_texts, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(released(cut_texts), "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -403,9 +403,9 @@ def without_passages(docs: DataFrame, text: str = "text", batches: int = BATCHES
     arrow_limits(docs.sparkSession)
     texts = distinct_texts(docs, text, 2 * WORDS - 1)
     # Computed where it is read: as large as the texts and not to be compressed, it would cost more on disk.
-    digests = texts.mapInArrow(word_digests, "sha string, text binary, copies long, text_id long").filter(F.octet_length("text") >= WORDS * WORD)
+    digests = texts.mapInArrow(released(word_digests), "sha string, text binary, copies long, text_id long").filter(F.octet_length("text") >= WORDS * WORD)
     spans = repeated_spans(digests, batches, WORDS * WORD).groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans").mapInArrow(cut_words, "sha string, kept_text string")
+    return texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans").mapInArrow(released(cut_words), "sha string, kept_text string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
