@@ -1,7 +1,10 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from interlace.llm import mixing
 from pyspark.sql import functions as F
@@ -35,6 +38,82 @@ def test_held_out_accuracy_and_targets(spark):
     assert np.allclose(np.array(totals) / sum(totals), [0.5, 0.25, 0.25], atol=1e-4) and (every["rate"] >= 0).all()
 
 
+def brute_posteriors(rows, known):
+    """p0..p2 by id, step by step over dictionaries; rows are (id, text), known is {id: (domain, fold)}."""
+    low = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+
+    def features(t):
+        words, names = low(t), set()
+        share = lambda name, count, of, scale: f" {name}{min(mixing.BINS - 1, math.floor(math.log2(1 + scale * count / max(1, of))))}"
+        names.add(share("signs", sum(c in mixing.SIGNS for c in t), len(words), 100))
+        names.add(share("capitals", sum("A" <= c <= "Z" for c in t), len(t), 20))
+        names.add(f" again{10 * (len(words) - len(set(words))) // max(1, len(words))}")
+        digest = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+        return {(h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS for h in map(digest, names | {w[: mixing.LETTERS] for w in words})}
+
+    found = {i: features(t) for i, t in rows}
+    size = [sum(d == k and f == 0 for d, f in known.values()) for k in range(3)]
+    total, counts = sum(size), {}
+    for i, (d, f) in known.items():
+        for x in found[i] if f == 0 else ():
+            counts.setdefault(x, [0, 0, 0])[d] += 1
+    weights = {}
+    for x, c in counts.items():
+        w = [math.log((c[k] + mixing.PRIOR * size[k] / total) / (size[k] + mixing.PRIOR) * (total + mixing.PRIOR) / (sum(c) + mixing.PRIOR)) for k in range(3)]
+        if max(w) >= mixing.TELLING:
+            weights[x] = w
+
+    def cell(i, t):
+        s = [math.fsum(weights[x][k] for x in found[i] if x in weights) for k in range(3)]
+        level = lambda v, limits: sum(v >= c for c in limits)
+        return (*(level(s[k] - s[0], mixing.EVIDENCE) for k in (1, 2)), level(len(t.split()) + 1, mixing.LENGTHS))
+
+    cells = {i: cell(i, t) for i, t in rows}
+    seen = [(cells[i], d) for i, (d, f) in known.items() if f == 1]
+    share = [(sum(d == k for _, d in seen) + 1) / (len(seen) + 3) for k in range(3)]
+    out = {}
+    for i, c in cells.items():
+        p = share
+        for part in (2, 3):
+            n = [sum(x[:part] == c[:part] and d == k for x, d in seen) for k in range(3)]
+            p = [(n[k] + mixing.SMOOTH * p[k]) / (sum(n) + mixing.SMOOTH) for k in range(3)]
+        out[i] = p
+    return out
+
+
+def test_posteriors_match_brute_force(spark):
+    docs, labels = corpus(spark)
+    known = {r.doc_id: (r.domain, r.fold) for r in mixing.labelled(labels, "doc_id").collect()}
+    assert len(known) == labels.count() and {f for _, f in known.values()} == {0, 1}
+    want = brute_posteriors([(r.doc_id, r.text) for r in docs.collect()], known)
+    got = {r.doc_id: (r.p0, r.p1, r.p2) for r in mixing.posteriors(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+
+
+def test_held_out_toxic_recall_calibration_and_mix_of_the_tables(spark):
+    """Fitted on even ids, judged on odd ones; and the mix of all rows is within a hundredth of its targets."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter("doc_id % 2 = 1").select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    rows = mixing.posteriors(docs, labels.filter("doc_id % 2 = 0")).join(held, "doc_id").toPandas()
+    assert (rows[rows.domain == 2].p2 >= 0.5).mean() >= 0.75 and rows[rows.domain == 0].p2.mean() <= 0.03
+    assert all(abs(rows[f"p{i}"].mean() - (rows.domain == i).mean()) <= 0.03 for i in range(3))
+    off = mixing.mix(docs, labels).select(*[f"off_{x}" for x in mixing.DOMAINS]).distinct().collect()
+    assert len(off) == 1 and max(map(abs, off[0])) <= 0.01
+
+
+def test_plan_has_no_python(spark):
+    docs, labels = corpus(spark, 40)
+    for rows in (mixing.posteriors(docs, labels), mixing.mix(docs, labels)):
+        plan = rows._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rates_stay_under_their_bound(spark):
+    rows = spark.createDataFrame([(i, 10, *((0.9, 0.1, 0.0) if i % 2 else (0.1, 0.9, 0.0))) for i in range(20)], "i int, n_tokens long, p0 double, p1 double, p2 double")
+    rates = {r.i % 2: r.rate for r in mixing.fit_rates(rows, [400.0, 60.0, 0.0], F.lit(1.0), 2.0).collect()}
+    assert abs(rates[1] - 2) < 1e-6 and 1 <= rates[0] <= 1.5
+
+
 @pytest.mark.parametrize("targets, least", [([300.0, 200.0, 0.0], 0.0), ([900.0, 10.0, 40.0], 0.0), ([50.0, 20.0, 10.0], 0.5)])
 def test_rates_reach_the_least_squares_optimum(spark, targets, least):
     rng = np.random.default_rng(3)
