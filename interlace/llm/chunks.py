@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -111,39 +112,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+class Cuts:
+    """Where the buckets of the keys begin. Buckets are numbered in ascending order of (key, tie), null keys lowest.
+
+    A key that many of the quantiles name has that many buckets, among which its rows are dealt by ranges of `tie`; so
+    have the null keys, by their share of the rows.
+    """
+
+    def __init__(self, quantiles: list[int], nulls: int, rows: int, buckets: int) -> None:
+        self.keys, self.times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.null_buckets = -(-nulls * buckets // max(1, rows))
+        self.first = np.r_[0, np.cumsum(self.times)] + self.null_buckets
+        self.ties = bool(nulls) or bool((self.times > 1).any())
+
+    def number(self, null: np.ndarray, k: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The bucket of each row; keys that are null have any number as k."""
+        share = (ties >> 32) + (1 << 31)  # the upper half as a number from 0 to 2^32 - 1
+        at = np.searchsorted(self.keys, k)
+        times = np.append(self.times, 1)[at]
+        here = np.append(self.keys, 0)[at] == k
+        here[at == len(self.keys)] = False
+        out = self.first[at] + np.where(here, share * times >> 32, 0)
+        return np.where(null, share * self.null_buckets >> 32, out).astype(np.int32)
+
+
 def in_buckets(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """(bucket, head, key, text): rows by ranges of the key, each range followed by a copy of the first row of the next.
+    """(bucket, head, k, tie, t): rows by ranges of the key, each range followed by a copy of the first row of the next.
 
     Ranges come from approximate quantiles of the key alone. In descending order the row after the last of a range is the
     first of the next range below, and after the smallest key comes the largest. Only those first rows, one for each
-    range, are copied; the text is shuffled once.
+    range, are copied; the text is shuffled once. The driver sees one key for each range.
     """
-    cuts = docs.select(F.col(key).alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.coalesce(F.col("k"), F.lit(-(2**63))) > c).cast("int")
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).withColumn("bucket", bucket)
+    keys = docs.select(F.col(key).cast("long").alias("k"))
+    at = [i / buckets for i in range(1, buckets)] or [0.5]
+    seen = keys.agg(F.percentile_approx("k", at, 100 * buckets).alias("q"), F.count_if(F.col("k").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    cuts = Cuts(seen.q or [], seen.nulls, seen.n, buckets)
+    tie = F.xxhash64(F.coalesce(text, F.lit(""))) if cuts.ties else F.lit(0).cast("long")
+    rows = docs.select(F.col(key).cast("long").alias("k"), tie.alias("tie"), F.coalesce(text, F.lit("")).alias("t"))
+    place = (F.col("k").isNull(), F.coalesce("k", F.lit(0)), F.col("tie"))  # no nulls: pandas would make them floats
+
+    @F.pandas_udf("int")
+    def number(null: pd.Series, k: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(cuts.number(null.to_numpy(bool), k.to_numpy(np.int64), tie.to_numpy(np.int64)))
+
     # One row for each range that has rows: its largest key, at which the range begins, for keys run downwards.
-    tops = sorted(docs.select(F.col(key).alias("k")).withColumn("bucket", bucket).groupBy("bucket").agg(F.max("k").alias("top")).collect())
-    target = F.lit(None).cast("int")
-    for i, (number, _) in enumerate(tops):
-        target = F.when(F.col("bucket") == number, F.lit(tops[(i + 1) % len(tops)][0])).otherwise(target)
-    top = F.lit(None).cast("long")
-    for number, largest in tops:
-        top = F.when(F.col("bucket") == number, F.lit(largest)).otherwise(top)
+    largest = F.max(F.struct((~place[0]).alias("some"), place[1].alias("k"), "tie")).alias("top")
+    tops = sorted((r.bucket, *r.top) for r in rows.select("k", "tie", number(*place).alias("bucket")).groupBy("bucket").agg(largest).collect())
+    above = {(not some, k, tie): tops[(i + 1) % len(tops)][0] for i, (_, some, k, tie) in enumerate(tops)}
+
+    @F.pandas_udf("int")
+    def copied_to(null: pd.Series, k: pd.Series, tie: pd.Series) -> pd.Series:
+        """The bucket above, for rows with which a bucket begins."""
+        return pd.Series(map(above.get, zip(null.tolist(), k.tolist(), tie.tolist())), dtype="Int32")
+
+    rows = rows.withColumn("bucket", number(*place)).withColumn("to", copied_to(*place))
     own = F.struct("bucket", F.lit(False).alias("head"))
-    copy = F.struct(target.alias("bucket"), F.lit(True).alias("head"))
-    copies = F.when(F.col("k").eqNullSafe(top), F.array(own, copy)).otherwise(F.array(own))
-    rows = rows.withColumn("to", F.explode(copies)).select("to.bucket", "to.head", "k", "t")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "head", F.desc_nulls_last("k"), "t")
+    copy = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("head"))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, copy)))).select("place.bucket", "place.head", "k", "tie", "t")
+    return rows.repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket", "head", F.desc_nulls_last("k"), F.desc("tie"), "t")
 
 
 def compare_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
-    The next document is the one with the next smaller key (ties in order of their texts, null keys last), and the first
-    after the last; a single document is its own next. Null texts count as empty.
+    The next document is the one with the next smaller key (null keys last), and the first after the last; a single
+    document is its own next. Equal keys come in order of their texts, or of the texts' hashes if a key is null or fills
+    a range by itself. Null texts count as empty.
     """
     spark = docs.sparkSession
     arrow_limits(spark)

@@ -120,3 +120,17 @@ def test_compare_next_matches_brute_force(spark):
         got = [tuple(r) for r in chunks.compare_next(docs, buckets=buckets).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert chunks.compare_next(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [2, 9])
+def test_hot_keys_are_dealt_to_several_ranges(spark, buckets):
+    """A third of the rows has one key and a third none: the same rows as in one sequence, over more ranges than keys."""
+    rows = [(i if i % 3 == 0 else 50 if i % 3 == 1 else None, f"{PROSE} {i} " * (1 + i % 4)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(order, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    want = [(r.doc_id, chunks.to_string(chunks.fingerprint(r.text)), hashlib.sha256(chunks.edited(r.text, after.text).encode()).hexdigest()) for r, after in zip(order, order[1:] + order[:1])]
+    got = chunks.compare_next(docs, buckets=buckets).select("doc_id", "fingerprint", "edited_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    placed = chunks.in_buckets(docs, "doc_id", "text", buckets).filter("not head").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in placed) <= (120 if buckets == 2 else 40)
