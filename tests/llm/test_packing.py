@@ -92,3 +92,19 @@ def test_all_terms_of_a_seed_count():
     """The twelve heaviest terms of the seed are its own; what it shares with others are light ones."""
     docs = [np.append(np.arange(40), np.repeat(np.arange(100, 112), 5)), np.arange(40), np.arange(0, 40, 4), np.arange(200, 240)]
     assert packing.Bm25(docs).neighbours(0, np.array([False, True, True, True])).tolist() == [1, 2]
+
+
+def test_topics_part_vocabularies():
+    """Documents over four vocabularies, some words shared: a topic holds documents of one vocabulary."""
+    rng = np.random.default_rng(2)
+    docs = [np.concatenate([rng.integers(500 * (i % 4), 500 * (i % 4) + 300, 200), rng.integers(3000, 3100, 60)]) for i in range(200)]
+    signs = packing.directions(4000)
+    assert signs.shape == (4000, packing.TOPIC_DIMENSIONS) and set(np.unique(signs)) == {-1.0, 1.0}
+    vectors = np.array([packing.vector(d, signs) for d in docs])
+    topics = packing.Topics(vectors[:100])
+    by = {}
+    for i, v in enumerate(vectors):
+        by.setdefault(topics.of(v), []).append(i % 4)
+    pure = sum(max(map(kinds.count, range(4))) for kinds in by.values())
+    assert pure >= 190 and len(by) >= 4
+    assert packing.Topics(np.empty((0, packing.TOPIC_DIMENSIONS), np.float32)).of(vectors[0]) == 0
