@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch handed to Python; long texts are bounded by the bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: Rows of a batch where few columns are read and more texts at once share more words; its bytes bound it too.
-WIDE_ROWS = 4000
+WIDE_ROWS = 6000
 
+#: Name under which a Python worker keeps what later tasks of the same kind can use.
+WORKER_STATE = "interlace_worker_state"
 #: A key with more rows than this, and than the HOT_SHARE-th part of all rows, is split by split_join().
 HOT_ROWS, HOT_SHARE = 1000, 10_000
 
@@ -72,13 +75,16 @@ def delete_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(function):
+def released(function, keep: bool = False):
     """The function for mapInArrow, and after a task's last batch the memory that Arrow and the C library hold unused goes back.
 
-    Spark keeps Python workers between tasks and stages, and an idle one would keep the most that it ever held.
+    Spark keeps Python workers between tasks and stages, and an idle one would keep the most that it ever held. What an
+    encoder keeps in the worker (WORKER_STATE) goes when the worker does other work, unless keep is set.
     """
 
     def run(batches):
+        if not keep:
+            sys.modules.pop(WORKER_STATE, None)
         yield from function(batches)
         pa.default_memory_pool().release_unused()
         try:

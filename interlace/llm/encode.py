@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import WORKER_STATE
 from .words import GROUP_BYTES, LOWER, SPACE, bytes_of, groups
 
 #: Segments that a worker's cache holds at most before it starts again, and the longest that is kept (in characters).
-CACHE_SEGMENTS, CACHE_CHARS = 500_000, 60
+CACHE_SEGMENTS, CACHE_CHARS = 1_500_000, 60
 #: Segments that one call of the library encodes.
 CALL_SEGMENTS = 1000
 
@@ -137,7 +138,7 @@ class Encoder:
 
 def worker_encoder(path: str, drops_space: bool) -> Encoder:
     """The encoder of this worker process: Spark gives a process one task after another, and they find a warm cache."""
-    held = sys.modules.setdefault("interlace_worker_state", types.ModuleType("interlace_worker_state")).__dict__
+    held = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE)).__dict__
     key = ("encoder", path, drops_space)
     if key not in held:
         held[key] = Encoder(path, drops_space)

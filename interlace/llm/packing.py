@@ -204,7 +204,7 @@ def encoded(docs: DataFrame, tokenizer: str, drops_space: bool, key: str, text:
             places = [t << 63 - TOPIC_BITS | locality(x) >> TOPIC_BITS for t, x in zip(found, ids)]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, pa.int64()), pa.array(places, pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(released(run), "k long, topic long, place long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(released(run, keep=True), "k long, topic long, place long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -16,7 +16,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of texts that are handled at once; a longer text is handled by itself.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 
 
 def ranges(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
