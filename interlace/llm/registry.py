@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, chat, chunks, licences, mixing, packing, quality, simhash, suffixes, url_lists
+from . import bitplanes, chat, chunks, importance, infill, languages, licences, mixing, packing, quality, simhash, suffixes, url_lists
 
 QUERIES = {
     "op1_licences": licences.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_packing": packing.query,
     "op10_chunks": chunks.query,
+    "op11_languages": languages.query,
+    "op12_importance": importance.query,
+    "op13_infill": infill.query,
 }
 SQL = {
     "op1_licences": licences.SQL,
     "op3_url_lists": url_lists.SQL,
     "op4_quality": quality.SQL,
     "op8_chat": chat.SQL,
+    "op13_infill": infill.SQL,
 }
