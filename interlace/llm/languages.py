@@ -24,8 +24,8 @@ PROFILE, LONGEST = 400, 3
 LANGUAGES, ROWS = 1000, 5000
 #: One document in so many is held out, and the answer for texts without letters.
 FOLDS, UNKNOWN = 5, "und"
-#: Bits of a code point inside an n-gram's number.
-BITS = 21
+#: Bits of a code point inside an n-gram's number, and the code of the mark at both ends of a word.
+BITS, MARK = 21, 1
 
 
 def _letters() -> np.ndarray:
@@ -38,18 +38,19 @@ LETTERS = _letters()
 
 def grams(text: str) -> np.ndarray:
     """The numbers of all n-grams of the words of a text, in lower case. A word is a run of letters with a mark at both ends;
-    the mark, zero, counts as a letter, but is no n-gram by itself. A number holds the code points, the last lowest."""
+    the mark counts as a letter, but is no n-gram by itself. A number holds the code points, the last lowest."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points[~LETTERS[points]] = 0
-    points = np.concatenate([[0], points, [0]])
-    points = points[(points > 0) | np.r_[True, points[:-1] > 0]]  # one mark between two words
-    found, inner = [points[points > 0]], points
-    for n in range(2, LONGEST + 1):
-        inner = inner[:-1] << BITS | points[n - 1 :]
-        whole = np.ones(len(inner), bool)
-        for i in range(1, n - 1):
-            whole &= points[i : i + len(inner)] > 0
-        found.append(inner[whole & (inner > 0)])
+    points[~LETTERS[points]] = MARK
+    points = np.concatenate([[MARK], points, [MARK]])
+    points = points[(points != MARK) | np.r_[True, points[:-1] != MARK]]  # one mark between two words
+    letter = points != MARK
+    found, numbers = [points[letter]], points
+    for n in range(2, min(LONGEST, len(points)) + 1):
+        numbers = numbers[:-1] << BITS | points[n - 1 :]
+        inner = np.ones(len(numbers), bool)
+        for i in range(1, n - 1):  # a mark in the middle would join two words
+            inner &= letter[i : i + len(numbers)]
+        found.append(numbers[inner])
     return np.concatenate(found)
 
 
