@@ -43,7 +43,7 @@ def deletions(text: Column, times: int) -> Column:
 
 
 def short_keys(refs: DataFrame) -> DataFrame:
-    """(key, ref) for short strings: for each length that a similar string may have, what deletions leave."""
+    """(key, side, ref) for short strings: for each length that a similar string may have, what deletions leave."""
     least = [min(m for m in range(1, n + 1) if 2 * m >= RATIO * (n + m)) for n in range(1, SHORT + 1)]
     size, most = F.length("ref"), SHORT - math.ceil(RATIO / 2 * (SHORT + least[-1]))
     rows = refs.filter(size.between(1, SHORT)).withColumn("size", size)
@@ -52,7 +52,7 @@ def short_keys(refs: DataFrame) -> DataFrame:
     spare = F.col("size") - matched(F.col("size"), F.col("other"))
     left = reduce(lambda c, n: c.when(spare == n, deletions(F.col("ref"), n)), range(1, most + 1), F.when(spare == 0, deletions(F.col("ref"), 0)))
     key = F.concat_ws(" ", F.least("size", "other"), F.greatest("size", "other"), F.col("rest"))
-    return rows.withColumn("rest", F.explode(left)).select(key.alias("key"), "ref")
+    return rows.withColumn("rest", F.explode(left)).select(key.alias("key"), F.signum(F.col("other") - F.col("size")).cast("int").alias("side"), "ref")
 
 
 def grams(text: Column) -> Column:
@@ -67,7 +67,7 @@ def destroyed(own: Column, other: Column) -> Column:
 
 
 def long_keys(refs: DataFrame) -> DataFrame:
-    """(key, ref): the rarest grams of strings that are long, or long enough to be similar to a long one.
+    """(key, side, ref): the rarest grams of strings that are long, or long enough to be similar to a long one.
 
     One gram more than a similar string may lack: so the first gram in order that both have is among the keys of each. The
     order decides only how many candidates arise, not which pairs are found.
@@ -82,21 +82,21 @@ def long_keys(refs: DataFrame) -> DataFrame:
     ends = (F.ceil(F.col("size") * (RATIO / (2 - RATIO))).cast("int"), F.floor(F.col("size") * ((2 - RATIO) / RATIO)).cast("int"))
     worst = F.array_max(F.transform(F.sequence(*ends), lambda m: F.when(matched(F.col("size"), m) <= F.least(F.col("size"), m), destroyed(F.col("size"), m)).otherwise(0)))
     rows = rows.join(F.broadcast(known)).withColumn("ranked", ranked).withColumn("first", F.slice("ranked", 1, worst + 1))
-    return rows.select(F.explode("first.gram").alias("key"), "ref")
+    return rows.select(F.explode("first.gram").alias("key"), F.lit(0).alias("side"), "ref")
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, keys: how many they share) of different refs with one key, a before b. A key of more than BLOCK rows is divided
+    """Pairs (a, b, keys: how many they share) of different refs with one key and opposite sides (or both 0), a before b. A key of more than BLOCK rows is divided
     in blocks by hash, and each pair of its blocks is a key of its own, so no task compares more than two blocks."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     rows = rows.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.select("key", *cell, "own", "ref")
-    side = lambda name: rows.select("key", "low", "high", F.col("own").alias(f"{name}_own"), F.col("ref").alias(name))
+    rows = rows.select("key", *cell, "own", "side", "ref")
+    side = lambda name: rows.select("key", "low", "high", F.col("own").alias(f"{name}_own"), F.col("side").alias(f"{name}_side"), F.col("ref").alias(name))
     # In the cell of two blocks only pairs across them count; pairs inside a block belong to its own cell.
     across = (F.col("low") == F.col("high")) | (F.col("a_own") != F.col("b_own"))
-    return side("a").join(side("b"), ["key", "low", "high"]).filter((F.col("a") < F.col("b")) & across).groupBy("a", "b").agg(F.count("*").alias("keys"))
+    return side("a").join(side("b"), ["key", "low", "high"]).filter((F.col("a") < F.col("b")) & across & (F.col("a_side") == -F.col("b_side"))).groupBy("a", "b").agg(F.count("*").alias("keys"))
 
 
 def candidates(refs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def similar(refs: DataFrame, ref: str = "ref") -> DataFrame:
 def linked(refs: DataFrame, ref: str = "ref") -> DataFrame:
     """(a, b, score) of different normal references: one base number .7, otherwise similar spelling .5 (J06 over all pairs)."""
     distinct = refs.select(F.col(ref).alias("ref")).filter(F.length("ref") > 0).distinct()
-    based = distinct.select(X.base_reference(F.col("ref")).alias("key"), "ref").filter(F.length("key") > 0)
+    based = distinct.select(X.base_reference(F.col("ref")).alias("key"), F.lit(0).alias("side"), "ref").filter(F.length("key") > 0)
     same = meeting(based).select("a", "b", F.lit(0.7).alias("score"))
     near = similar(distinct).filter(X.base_reference(F.col("a")) != X.base_reference(F.col("b"))).select("a", "b", F.lit(0.5).alias("score"))
     return same.unionByName(near)
