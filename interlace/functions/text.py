@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import unicodedata
 
 import pandas as pd
@@ -26,6 +27,11 @@ NOT_REFERENCES = [
     "INCLUDES", "THERMOSTAT", "WARRANTY", "INFORMATION", "DETAILS", "MONTHS", "MILES", "LIMITED", "LIFETIME", "PLEASE", "CONTACT", "NUMBER", "RETURN",
     "POLICY",
 ]
+# Signs and what stands for them in plain text.
+PLAIN_SIGNS = {
+    "™": "TM", "®": "(R)", "©": "(C)", "°": " deg ", "—": " - ", "–": " - ", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "…": "...",
+    "【": "[", "】": "]", "🎯": "[TARGET]", "🔧": "[TOOL]", "⚙\ufe0f": "[GEAR]",
+}
 # Cells that count as blank.
 BLANKS = ("", "n/a", "na", "none", "-", "--", "0", ".", "tbd", "?")
 
@@ -119,13 +125,41 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
+def _plain(text: str) -> str:
+    """Compatibility forms resolved, known signs spelled out, what cp1252 lacks dropped, white space collapsed."""
+    text = unicodedata.normalize("NFKD", text)
+    for sign, spelled in PLAIN_SIGNS.items():
+        text = text.replace(sign, spelled)
+    return " ".join(text.encode("cp1252", "ignore").decode("cp1252").split())
+
+
+def _plain_value(value: object) -> object:
+    """Every string inside a parsed JSON value in plain text, keys included; of keys that become equal the last one stays."""
+    if isinstance(value, str):
+        return _plain(value)
+    if isinstance(value, list):
+        return [_plain_value(v) for v in value]
+    if isinstance(value, dict):
+        return {_plain(k): _plain_value(v) for k, v in value.items()}
+    return value
+
+
 @F.pandas_udf(T.StringType())
 def plain_text(texts: pd.Series) -> pd.Series:
-    """Compatibility forms are resolved, marks and what Latin-1 lacks dropped, blanks collapsed; null stays null."""
+    """Plain text that cp1252 can hold; empty for null."""
+    return texts.map(lambda t: "" if t is None else _plain(t))
+
+
+@F.pandas_udf(T.StringType())
+def plain_json(texts: pd.Series) -> pd.Series:
+    """A JSON value with every string in it in plain text, at any depth; numbers, nulls and booleans stay.
+
+    Null stays null. What is no JSON, or is nested beyond the parser's depth, is taken as a text itself.
+    """
     def one(t):
-        if t is None:
-            return None
-        folded = unicodedata.normalize("NFKD", t).encode("latin-1", "ignore").decode("latin-1")
-        return " ".join(folded.split())
+        try:
+            return None if t is None else json.dumps(_plain_value(json.loads(t)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return _plain(t)
 
     return texts.map(one)

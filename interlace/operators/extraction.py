@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -115,3 +115,40 @@ def url_fitment(spark: SparkSession, sf: str) -> DataFrame:
 def config_paths(spark: SparkSession, sf: str) -> DataFrame:
     """A value by its path in a nested document, a default where the path leads nowhere, and a content digest."""
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("missing"), F.md5(F.substring("props", 1, 4096)).alias("fingerprint"))
+
+
+# Pieces of text and what the rule makes of them, worked out by hand from the map and the cp1252 table.
+SIGNS = [
+    ("50°C €9", "50 deg C €9"), ("Brand™ ®©", "BrandTM (R)(C)"), ("a—b–c", "a - b - c"), ("\u2018q\u2019 \u201cw\u201d", "'q' \"w\""), ("wait…", "wait..."), ("【x】", "[x]"), ("🎯🔧⚙\ufe0f", "[TARGET][TOOL][GEAR]"),
+    ("ﬁlter ½", "filter 1⁄2".replace("⁄", "")), ("你好", ""), ("Œuvre ƒ ‰", "Œuvre ƒ ‰"), ("x\u00a0\u2003y", "x y"), ("\u0007bell", "\u0007bell"), ("😀 ok", "ok"), ("café", "cafe"),
+]
+_quoted = lambda v: "'" + v.replace("'", "''") + "'"
+_SIGN_SQL, _PLAIN_SQL = ("[" + ", ".join(_quoted(s[i]) for s in SIGNS) + "]" for i in (0, 1))
+
+
+def _sign(key: str) -> Column:
+    """One of the pieces for each row, by its key."""
+    return F.element_at(F.array(*[F.lit(s) for s, _ in SIGNS]), (F.col(key) % len(SIGNS) + 1).cast("int"))
+
+
+@register("plain_documents", rf"SELECT doc_id, trim(regexp_replace(strip_accents(text) || ' ' || ({_PLAIN_SQL})[doc_id % {len(SIGNS)} + 1], '\s+', ' ', 'g')) AS plain FROM documents")
+def plain_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """C15 over all documents, each with one of the pieces at its end."""
+    return read(spark, sf, "documents").select("doc_id", X.plain_text(F.concat_ws(" ", F.coalesce("text", F.lit("")), _sign("doc_id"))).alias("plain"))
+
+
+def _nested(sign: str, plain: bool = False) -> str:
+    """SQL for a JSON text around props and a sign (an expression), as it is or as it becomes plain."""
+    key = "_ (R)" if plain else "_ ®"
+    return f"""concat('{{"old": ', props, ', "{key}": [', to_json({sign}), ', null, true, 1.5, ["x{'TM' if plain else '™'}", {{"deep": {{"deeper": ', to_json({sign}), '}}}}]], "none": {{}}}}')"""
+
+
+@register("plain_props", f"SELECT event_id, {_nested(f'(({_PLAIN_SQL})[event_id % {len(SIGNS)} + 1])', True)} AS plain FROM events WHERE ({_PLAIN_SQL})[event_id % {len(SIGNS)} + 1] NOT LIKE '%bell%'")
+def plain_props(spark: SparkSession, sf: str) -> DataFrame:
+    """C15 inside nested values: every string of the props of events, with pieces planted in keys, lists and objects."""
+    rows = read(spark, sf, "events").filter(~_sign("event_id").contains("bell"))
+    quoted = F.concat(F.lit('"'), F.replace(_sign("event_id"), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    nested = F.concat(
+        F.lit('{"old": '), "props", F.lit(', "_ ®": ['), quoted, F.lit(', null, true, 1.5, ["x™", {"deep": {"deeper": '), quoted, F.lit('}}]], "none": {}}')
+    )
+    return rows.select("event_id", X.plain_json(nested).alias("plain"))

@@ -97,50 +97,3 @@ def optimization_report(spark: SparkSession, sf: str) -> DataFrame:
     load = F.avg("value") / 2.5
     batch = read(spark, sf, "events").agg(F.when(load > 80, 25.0).when(load > 60, 37.0).otherwise(50.0).alias("value")).withColumn("name", F.lit("recommended size"))
     return part(brands, "brand").unionByName(part(types, "part type")).unionByName(part(totals, "total")).unionByName(part(batch, "batch"))
-
-
-def _values(rows: list[tuple]) -> str:
-    """The rows as an SQL VALUES list."""
-    plain = lambda v: "NULL" if v is None else ("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v))
-    return ", ".join("(" + ", ".join(map(plain, r)) + ")" for r in rows)
-
-
-# Two references and twice the length of their matching blocks over the sum of their lengths, counted by hand.
-RATIOS = [
-    ("7B0199279A", "7B0199279", 0.947368), ("5273883AD", "5273883AC", 0.888889), ("ABC", "ABC", 1.0), ("ABC", "XYZ", 0.0), ("", "", 1.0), ("A", "", 0.0),
-    ("ABCD", "BCDE", 0.75), ("AB12", "12AB", 0.5), ("1234567XX", "5273883AD", 0.222222), (None, "A", None),
-]
-
-
-@register("spelling_ratios", f"SELECT a, b, ratio::DOUBLE AS ratio FROM (VALUES {_values(RATIOS)}) AS t(a, b, ratio)")
-def spelling_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    """C08 on its own: overlaps, swapped blocks, nothing in common, empty and missing references."""
-    rows = spark.createDataFrame([r[:2] for r in RATIOS], "a string, b string")
-    return rows.select("a", "b", F.round(X.sequence_ratio("a", "b"), 6).alias("ratio"))
-
-
-# Texts and what is left of them in plain Latin-1.
-PLAIN = [
-    ("café", "cafe"), ("ﬁlter ½", "filter 12"), ("a b c", "a b c"), ("  two   blanks ", "two blanks"), ("你好", ""), ("50°C €9", "50°C 9"), ("", ""), (None, None),
-]
-
-
-@register("plain_texts", f"SELECT CAST(id AS INT) AS id, plain FROM (VALUES {_values([(i, p) for i, (_, p) in enumerate(PLAIN)])}) AS t(id, plain)")
-def plain_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """C15 on its own: accents, ligatures, fractions, odd blanks, signs outside Latin-1, empty and missing texts."""
-    return spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PLAIN)], "id int, t string").select("id", X.plain_text("t").alias("plain"))
-
-
-# A cell and what it means as a confidence, a price, and years.
-CELLS = [
-    ("85", 85, 85.0, ""), ("85.7", 85, 85.7, ""), ("85%", 85, None, ""), ("n/a", None, None, ""), (None, None, None, ""), ("", None, None, ""), ("about 70 to 80", 70, None, ""), ("-5", -5, -5.0, ""),
-    ("$1,234.50", 1, 1234.5, ""), ("2005-2007", 2005, None, "2005,2006,2007"), ("2007-2005", 2007, None, ""), ("1999", 1999, 1999.0, "1999"), ("2005 - 2006", 2005, None, "2005,2006"),
-]
-
-
-@register("odd_cells", f"SELECT CAST(id AS INT) AS id, CAST(confidence AS INT) AS confidence, price::DOUBLE AS price, years FROM (VALUES {_values([(i, *c[1:]) for i, c in enumerate(CELLS)])}) AS t(id, confidence, price, years)")
-def odd_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """C01, C14, C17 on odd cells: per cent signs, words around numbers, thousands, ranges that run backwards, nothing."""
-    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CELLS)], "id int, cell string")
-    years = F.coalesce(F.array_join(F.transform(X.expand_years(F.col("cell")), lambda y: y.cast("string")), ","), F.lit(""))
-    return rows.select("id", X.parse_confidence(F.col("cell")).alias("confidence"), X.parse_price(F.col("cell")).alias("price"), years.alias("years"))

@@ -336,9 +336,3 @@ def hash_similarity(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 2654435761).alias("h"))
     a, b = p.toDF("a_part", "ha"), p.toDF("b_part", "hb")
     return a.join(b, F.col("b_part") == F.col("a_part") + 1).select("a_part", "b_part", F.round((64 - F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))) / 64.0, 6).alias("similarity"))
-
-
-@register("sanitize_text")
-def sanitize_text(spark: SparkSession, sf: str) -> DataFrame:
-    """C15 over all documents."""
-    return read(spark, sf, "documents").select("doc_id", X.plain_text("text").alias("plain"))

@@ -36,7 +36,7 @@ def test_sequence_ratio_and_plain_text(spark):
     pairs = [("7B0199279A", "7B0199279"), ("abc", "xbc"), ("", ""), (None, "a")]
     got = [r.x for r in spark.createDataFrame(pairs, "a string, b string").select(X.sequence_ratio("a", "b").alias("x")).collect()]
     assert got == [difflib.SequenceMatcher(None, a, b).ratio() if a is not None else None for a, b in pairs]
-    assert one(spark, X.plain_text(F.lit(" ﬁne  café — 10 "))) == "fine cafe 10"
+    assert one(spark, X.plain_text(F.lit(" ﬁne  café — 10 "))) == "fine cafe - 10"
 
 
 def refs(*x):
@@ -158,3 +158,43 @@ def test_metrics_keep_the_newest(spark, tmp_path):
     for lo in (0, 10):
         sinks.append_metrics(spark.createDataFrame([(i, "cpu", float(i)) for i in range(lo, lo + 10)], ddl), f"{tmp_path}/m")
     assert sorted(r.ts for r in sinks.load_metrics(spark, f"{tmp_path}/m", ddl, 3).collect()) == [17, 18, 19]
+
+
+def test_plain_text_follows_the_rule(spark):
+    """Accents, ligatures, fractions, odd blanks, signs of the map and outside cp1252, empty and missing texts."""
+    from interlace.operators.extraction import SIGNS
+
+    cases = [*SIGNS, ("  two   blanks ", "two blanks"), ("", ""), (None, ""), ("é", "e"), ("\u0081x", "x")]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, t string")
+    assert {r.id: r.p for r in rows.select("id", X.plain_text("t").alias("p")).collect()} == dict(enumerate(p for _, p in cases))
+
+
+def test_plain_json_keeps_everything_but_strings(spark):
+    cases = [
+        ('{"a™": ["°", {"b": null, "c": 12345678901234567890, "—": "…"}], "d": false}', '{"aTM": ["deg", {"b": null, "c": 12345678901234567890, "-": "..."}], "d": false}'),
+        ("[]", "[]"), ('"x®"', '"x(R)"'), ("3", "3"), (None, None), ("no json °", "no json deg"), ("[" * 100_000, "[" * 100_000), ('{"™": 1, "TM": 2}', '{"TM": 2}'), ("", ""),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, t string")
+    assert {r.id: r.p for r in rows.select("id", X.plain_json("t").alias("p")).collect()} == dict(enumerate(p for _, p in cases))
+
+
+def test_sequence_ratio(spark):
+    """Overlaps, swapped blocks, nothing in common, empty and missing references; counted by hand."""
+    cases = [
+        ("7B0199279A", "7B0199279", 0.947368), ("5273883AD", "5273883AC", 0.888889), ("ABC", "ABC", 1.0), ("ABC", "XYZ", 0.0), ("", "", 1.0), ("A", "", 0.0),
+        ("ABCD", "BCDE", 0.75), ("AB12", "12AB", 0.5), ("1234567XX", "5273883AD", 0.222222), (None, "A", None),
+    ]
+    rows = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "id int, a string, b string")
+    assert {r.id: r.r for r in rows.select("id", F.round(X.sequence_ratio("a", "b"), 6).alias("r")).collect()} == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_odd_cells(spark):
+    """A cell and what it means as a confidence, a price, and years."""
+    cells = [
+        ("85", 85, 85.0, ""), ("85.7", 85, 85.7, ""), ("85%", 85, None, ""), ("n/a", None, None, ""), (None, None, None, ""), ("", None, None, ""), ("about 70 to 80", 70, None, ""), ("-5", -5, -5.0, ""),
+        ("$1,234.50", 1, 1234.5, ""), ("2005-2007", 2005, None, "2005,2006,2007"), ("2007-2005", 2007, None, ""), ("1999", 1999, 1999.0, "1999"), ("2005 - 2006", 2005, None, "2005,2006"),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cells)], "id int, cell string")
+    years = F.coalesce(F.array_join(F.transform(X.expand_years(F.col("cell")), lambda y: y.cast("string")), ","), F.lit(""))
+    got = rows.select("id", X.parse_confidence(F.col("cell")).alias("c"), X.parse_price(F.col("cell")).alias("p"), years.alias("y")).collect()
+    assert {r.id: (r.c, r.p, r.y) for r in got} == {i: c[1:] for i, c in enumerate(cells)}
