@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = (*(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scans", "scoring", "references", "quality", "validation", "monitoring", "extraction", "ingest", "roundtrips")), "interlace.streaming.windows")
+MODULES = (*(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scans", "scoring", "references", "quality", "validation", "monitoring", "extraction", "pages", "ingest", "roundtrips")), "interlace.streaming.windows")
 for name in MODULES:
     importlib.import_module(name)
 
