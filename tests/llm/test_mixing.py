@@ -101,6 +101,23 @@ def test_held_out_toxic_recall_calibration_and_mix_of_the_tables(spark):
     assert len(off) == 1 and max(map(abs, off[0])) <= 0.01
 
 
+def test_query_has_a_bound_of_copies_and_states_its_distance(spark):
+    """On a small table the bound keeps the targets out of reach; how far is stated and is no more than this."""
+    rows = mixing.query(spark, "/root/testdata/sf0.01").toPandas()
+    assert rows.rate.between(0, mixing.COPIES).all()
+    off = [rows[f"off_{x}"].iloc[0] for x in mixing.DOMAINS]
+    reached = [(rows.rate * rows.n_tokens * rows[f"p_{x}"]).sum() / (rows.rate * rows.n_tokens).sum() for x in mixing.DOMAINS]
+    assert np.allclose(off, np.array(reached) - np.array([mixing.TARGETS[x] for x in mixing.DOMAINS]), atol=1e-9) and max(map(abs, off)) <= 0.045
+
+
+def test_stage_never_makes_the_corpus_larger_than_its_bounds_ask(spark):
+    """Targets out of reach are not made up for by copies of everything: expected tokens stay near those of the input."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.stage_rates(docs, labels).toPandas()
+    assert 0.9 <= (rows.rate * rows.n_tokens).sum() / rows.n_tokens.sum() <= 1.1
+    assert (rows.rate[rows.p_toxic < mixing.SURE] >= 1).all() and max(abs(rows[f"off_{x}"].iloc[0]) for x in mixing.DOMAINS) <= 0.06
+
+
 def test_plan_has_no_python(spark):
     docs, labels = corpus(spark, 40)
     for rows in (mixing.posteriors(docs, labels), mixing.mix(docs, labels)):
