@@ -132,9 +132,18 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("alerts_dedup", _ALERTS + ", l AS (SELECT *, lag(ts) OVER (PARTITION BY component, severity ORDER BY ts, event_id) AS before FROM a) SELECT event_id, component, severity, ts FROM l WHERE before IS NULL OR ts - before >= INTERVAL 24 HOUR")
 def alerts_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """An alert is new if its component and severity had none in the 24 hours before."""
-    before = F.lag("ts").over(Window.partitionBy("component", "severity").orderBy("ts", "event_id"))
-    return alerts(spark, sf).withColumn("before", before).filter(F.col("before").isNull() | (F.col("ts") - F.col("before") >= F.expr("interval 24 hours"))).select("event_id", "component", "severity", "ts")
+    """An alert is new if its component and severity had none in the 24 hours before.
+
+    The alert before is looked for inside an hour; for the first one of an hour it is the last one of the hour with any before.
+    """
+    rows = alerts(spark, sf).withColumn("hour", F.date_trunc("hour", "ts"))
+    keys = ["component", "severity"]
+    hours = rows.groupBy(*keys, "hour").agg(F.max("ts").alias("last"))
+    hours = hours.withColumn("last", F.lag("last").over(Window.partitionBy(*keys).orderBy("hour")))
+    inside = F.lag("ts").over(Window.partitionBy(*keys, "hour").orderBy("ts", "event_id"))
+    rows = rows.withColumn("inside", inside).join(hours, [*keys, "hour"])
+    before = F.coalesce("inside", "last")
+    return rows.filter(before.isNull() | (F.col("ts") - before >= F.expr("interval 24 hours"))).select("event_id", *keys, "ts")
 
 
 @register("alert_summary", _ALERTS + " SELECT component, count(*) AS n, CAST(count_if(severity = 'critical') AS BIGINT) AS critical, CAST(count_if(severity = 'warning') AS BIGINT) AS warning, count(*) - CAST(count_if(severity IN ('critical', 'warning')) AS BIGINT) AS info, CASE WHEN count_if(severity = 'critical') > 0 THEN 'critical' WHEN count_if(severity = 'warning') > 3 THEN 'degraded' WHEN count_if(severity = 'warning') > 0 OR count(*) > 5 THEN 'caution' ELSE 'healthy' END AS health FROM a GROUP BY 1")

@@ -1,7 +1,4 @@
-"""Sinks and stores as queries: what is written is read back, so that SQL over the input can be held against it.
-
-Also fixed tables of odd inputs for the functions that SQL has no equal of, or that the input tables feed only plain values.
-"""
+"""Sinks and stores as queries: what is written is read back, so that SQL over the input can be held against it."""
 
 from __future__ import annotations
 
@@ -10,11 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlace.functions import text as X
 from interlace.operators.ingest import COMPLEXITY, DEFAULT_COMPLEXITY, ask, create_tables
 from interlace.plans.model import WITH, flagged, match_rows
 from interlace.plans.registry import read, register
-from interlace.sources import sinks
+from interlace.sources import sinks, store
 from interlace.streaming.windows import stream_dir
 
 _COLOUR = "CASE match_result " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.COLOURS.items()) + " ELSE 'FFFFFF' END"
@@ -97,3 +93,17 @@ def optimization_report(spark: SparkSession, sf: str) -> DataFrame:
     load = F.avg("value") / 2.5
     batch = read(spark, sf, "events").agg(F.when(load > 80, 25.0).when(load > 60, 37.0).otherwise(50.0).alias("value")).withColumn("name", F.lit("recommended size"))
     return part(brands, "brand").unionByName(part(types, "part type")).unionByName(part(totals, "total")).unionByName(part(batch, "batch"))
+
+
+@register("stored_upgrades", WITH + ", u AS (SELECT sheet_name, CASE WHEN match_result = 'UNCERTAIN' AND sheet_name IN ('Anchor', 'Dorman') AND confidence >= 50 THEN 'LIKELY' ELSE match_result END AS match_result, confidence FROM m) SELECT sheet_name, match_result, count(*) AS n, CAST(sum(confidence) AS BIGINT) AS confidence FROM u GROUP BY ALL")
+def stored_upgrades(spark: SparkSession, sf: str) -> DataFrame:
+    """Upgraded rows of two sheets are written back into a store with a partition for each sheet, twice as after a
+    repeated run; counts by sheet and verdict of what the store then holds."""
+    rows = match_rows(spark, sf).select("sheet_name", "row_number", "part_number", "skp_part_number", "match_result", "confidence")
+    path = stream_dir(spark)
+    store.create(rows, path, "sheet_name")
+    better = rows.filter("match_result = 'UNCERTAIN' AND sheet_name IN ('Anchor', 'Dorman') AND confidence >= 50").withColumn("match_result", F.lit("LIKELY"))
+    for _ in range(2):
+        store.upsert(better, path, ["sheet_name", "row_number", "part_number", "skp_part_number"], "sheet_name")
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return stored.groupBy("sheet_name", "match_result").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from interlace.operators.medians import medians
 from interlace.plans.model import chain, match_rows, WITH
 from interlace.plans.registry import read, register
 
@@ -107,9 +108,11 @@ def quartile_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("median_shift", _EV + " SELECT event_type, median(value) FILTER (WHERE back > 10) AS baseline, round(avg(value) FILTER (WHERE back <= 10), 6) AS recent, avg(value) FILTER (WHERE back <= 10) > 3 * median(value) FILTER (WHERE back > 10) AS slowdown FROM e GROUP BY 1")
 def median_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """The last ten against the median of what was before; three times as much is a slowdown."""
-    base, recent = F.median(F.when(F.col("back") > 10, F.col("value"))), F.avg(F.when(F.col("back") <= 10, F.col("value")))
-    return numbered(spark, sf).groupBy("event_type").agg(base.alias("baseline"), F.round(recent, 6).alias("recent"), (recent > 3 * base).alias("slowdown"))
+    """The last ten against the median of what was before; three times as much is a slowdown."""
+    rows = numbered(spark, sf)
+    base = medians(rows.filter("back > 10"), "event_type", "value").withColumnRenamed("median", "baseline")
+    recent = newest(spark, sf, 10).groupBy("event_type").agg(F.avg("value").alias("recent"))
+    return recent.join(base, "event_type", "left").select("event_type", "baseline", F.round("recent", 6).alias("recent"), (F.col("recent") > 3 * F.col("baseline")).alias("slowdown"))
 
 
 @register("mean_shift", _EV + " SELECT event_type, round(avg(value) FILTER (WHERE back > 10) - avg(value) FILTER (WHERE back <= 10), 6) AS fall, round(stddev_pop(value) FILTER (WHERE back <= 20), 6) AS unrest, coalesce(stddev_pop(value) FILTER (WHERE back <= 20) > 0.2, false) AS unstable FROM e GROUP BY 1")
@@ -139,10 +142,18 @@ def health_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("running_cost", "SELECT event_id, CAST(ts AS DATE) AS day, round(sum(value) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id), 4) AS daily_total, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS calls, round(sum(value) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id), 4) >= 4000 AS over_limit FROM events")
 def running_cost(spark: SparkSession, sf: str, limit: float = 4000.0) -> DataFrame:
-    """Cost so far on each day, calls so far, and whether the day's limit is reached."""
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.round(F.sum("value").over(w), 4)
-    return read(spark, sf, "events").select("event_id", F.to_date("ts").alias("day"), total.alias("daily_total"), F.count("*").over(w).cast("long").alias("calls"), (total >= limit).alias("over_limit"))
+    """Cost so far on each day, calls so far, and whether the day's limit is reached.
+
+    Rows are summed up inside minutes; along a day only the sums of its minutes are.
+    """
+    rows = read(spark, sf, "events").withColumns({"day": F.to_date("ts"), "minute": F.date_trunc("minute", "ts")})
+    along = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = rows.groupBy("day", "minute").agg(F.sum("value").alias("own"), F.count("*").alias("n"))
+    before = minutes.select(F.col("minute").alias("__minute"), F.coalesce(F.sum("own").over(along), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    w = Window.partitionBy("day", "minute").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("so_far", F.sum("value").over(w)).withColumn("count", F.count("*").over(w)).join(before, F.col("minute") == F.col("__minute"))
+    total = F.round(F.col("cost") + F.col("so_far"), 4)
+    return rows.select("event_id", "day", total.alias("daily_total"), (F.col("before") + F.col("count")).cast("long").alias("calls"), (total >= limit).alias("over_limit"))
 
 
 @register("history_deviation", WITH + ", h AS (SELECT row_number, part_number, skp_part_number, confidence, avg(confidence) OVER (PARTITION BY supplier, part_type, match_result ORDER BY row_number, part_number, skp_part_number ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS mean FROM m WHERE confidence IS NOT NULL AND match_result <> '') SELECT row_number, part_number, skp_part_number, round(mean, 6) AS mean, coalesce(abs(confidence - mean) > 20, false) AS unusual FROM h")
