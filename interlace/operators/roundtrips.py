@@ -35,11 +35,20 @@ def json_reports(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json("value", "row_number long, part_number string, skp_part_number string, confidence int, match_reason string").alias("r")).select("r.*")
 
 
-@register("text_report", WITH + "SELECT unnest(['rows: ' || count(*), 'confirmed: ' || count_if(confirmed), 'best sheet: ' || max(sheet_name)]) AS line FROM f")
+_COMPARED = "SELECT confidence / 100.0{d} AS cv, coalesce(confidence >= 75, false) AS high, desc_match = 'YES' AND NOT coalesce(confidence >= 75, false) AS seen FROM {m} WHERE sheet_name = 'Anchor' AND match_result = 'UNCERTAIN'"
+_SHARE = "round(100.0{d} * count_if(high OR seen) / greatest(count(*), 1), 1)"
+
+
+@register(
+    "text_report",
+    WITH + f", c AS ({_COMPARED.format(d='::DOUBLE', m='m')}) SELECT unnest(['Sheet: Anchor', 'Total comparisons: ' || count(*), 'Upgraded to LIKELY: ' || count_if(high OR seen), 'Upgrade rate: ' || {_SHARE.format(d='::DOUBLE')} || '%', 'High CV similarity: ' || count_if(high), 'AI vision analysis: ' || count_if(seen), 'Average CV score: ' || round(coalesce(sum(cv), 0) / greatest(count(*), 1), 3)]) AS line FROM c",
+)
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The lines of a text report."""
+    """The report on the upgrades of a sheet: comparisons, upgrades and their share, by which way, and the mean score."""
     path = stream_dir(spark)
-    sinks.write_report(flagged(spark, sf), path, "concat('rows: ', count(*))", "concat('confirmed: ', count_if(confirmed))", "concat('best sheet: ', max(sheet_name))")
+    match_rows(spark, sf).createOrReplaceTempView("rows_to_report")
+    lines = ("'Sheet: Anchor'", "concat('Total comparisons: ', count(*))", "concat('Upgraded to LIKELY: ', count_if(high OR seen))", f"concat('Upgrade rate: ', {_SHARE.format(d='D')}, '%')", "concat('High CV similarity: ', count_if(high))", "concat('AI vision analysis: ', count_if(seen))", "concat('Average CV score: ', round(coalesce(sum(cv), 0) / greatest(count(*), 1), 3))")
+    sinks.write_report(spark.sql(_COMPARED.format(d="D", m="rows_to_report")), path, *lines)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
