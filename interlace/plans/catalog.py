@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = (*(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scans", "scoring", "references", "phrases", "quality", "validation", "monitoring", "extraction", "pages", "ingest", "roundtrips")), "interlace.streaming.windows", "interlace.streaming.lifecycles")
+MODULES = (*(f"interlace.operators.{m}" for m in ("stats", "relational", "windows", "scans", "scoring", "references", "phrases", "vectors", "quality", "validation", "monitoring", "extraction", "pages", "ingest", "roundtrips")), "interlace.streaming.windows", "interlace.streaming.lifecycles")
 for name in MODULES:
     importlib.import_module(name)
 
