@@ -7,6 +7,7 @@ with the digests of the known licences, which are normalised by the same express
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ EQUIVALENT = {
 }
 PAIRS = {"sub license": "sublicense", "non infringement": "noninfringement", "copyright owner": "copyright holder", "copyright owners": "copyright holders"}
 
+# Places of the normal form where the matching guidelines allow any names, and what is put there instead.
+NAMES = {
+    "neither the name of .{1,200}? nor the names of its contributors": "neither the name of the copyright holder nor the names of its contributors",
+    "this software is provided by .{1,200}? as is and any express or implied warranties": "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
+    "in no event shall .{1,200}? be liable for any direct indirect incidental": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental",
+}
 # Texts of public licences and of the notices that stand for them.
 _PERMIT = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -43,6 +50,8 @@ _DISCLAIM = (
     "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
     "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+#: How the items of a list may be marked; bullets are punctuation, as is a dot or bracket after a number or letter.
+MARKS = ("{n}. ", "* ", "{letter}) ")
 KNOWN = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
      'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
@@ -61,8 +70,7 @@ KNOWN = (
      "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
      "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
      "USE OR PERFORMANCE OF THIS SOFTWARE."),
-    ("BSD-2-Clause", _PERMIT + _DISCLAIM),
-    ("BSD-3-Clause", _PERMIT + _THIRD + _DISCLAIM),
+    *((name, reduce(lambda t, n: t.replace(f"{n}. ", mark.format(n=n, letter="abc"[n - 1])), (1, 2, 3), body + _DISCLAIM)) for name, body in (("BSD-2-Clause", _PERMIT), ("BSD-3-Clause", _PERMIT + _THIRD)) for mark in MARKS),
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
@@ -99,7 +107,8 @@ TITLE = r"^(the )?(mit|isc|(new |simplified |modified )?bsd( [0-9] clause)?) lic
 
 
 def canonical(text: Column) -> Column:
-    """The normal form: lower case, no copyright notices or title, words and digits between single spaces, one spelling.
+    """The normal form: lower case, no copyright notices or title, words and digits between single spaces, one spelling, and
+    one name where any may stand.
 
     Only the notice goes, not what follows it on its line. A notice without year or sign counts if it begins a line.
     """
@@ -113,7 +122,8 @@ def canonical(text: Column) -> Column:
     for old, new in PAIRS.items():
         text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
     text = F.concat(F.trim(F.replace(text, F.lit("  "), F.lit(" "))), F.lit(" "))
-    return F.trim(F.regexp_replace(text, TITLE, ""))
+    text = F.trim(F.regexp_replace(text, TITLE, ""))
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), NAMES.items(), text)
 
 
 def digests_of(known: DataFrame) -> DataFrame:
@@ -154,7 +164,8 @@ def _sql_canonical(x: str) -> str:
     x = f"' ' || {x} || ' '"
     for old, new in PAIRS.items():
         x = f"replace({x}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
-    return f"trim(regexp_replace(trim(replace({x}, '  ', ' '), ' ') || ' ', '{TITLE}', ''), ' ')"
+    x = f"trim(regexp_replace(trim(replace({x}, '  ', ' '), ' ') || ' ', '{TITLE}', ''), ' ')"
+    return reduce(lambda t, rule: f"regexp_replace({t}, '{rule[0]}', '{rule[1]}', 'g')", NAMES.items(), x)
 
 
 _ROWS = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in KNOWN)

@@ -40,6 +40,12 @@ def planted_licences():
     )]
     rows.append(("MIT", mit.replace("sublicense", "sub-licence").replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("copyright holders", "Copyright\towners")))
     rows.append(("BSD-3-Clause", "BSD 3-Clause License\n" + texts["BSD-3-Clause"].replace("above copyright notice", "above\ncopyright notice")))
+    bsd = texts["BSD-3-Clause"]
+    plain = next(b for n, b in licences.KNOWN if n == "BSD-3-Clause")
+    regents = plain.replace("the copyright holder nor", "the University nor").replace("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "BY THE REGENTS AND CONTRIBUTORS").replace("SHALL THE COPYRIGHT HOLDER OR", "SHALL THE REGENTS OR")
+    for one in (plain.replace("1. ", " * ").replace("2. ", " * ").replace("3. ", " * "), plain.replace("1. ", "- ").replace("2. ", "- ").replace("3. ", "- "), plain.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ")):
+        rows += [("BSD-3-Clause", one), ("BSD-3-Clause", one.replace("the copyright holder nor", "Acme Inc. nor"))]
+    rows += [("BSD-3-Clause", regents), ("BSD-3-Clause", bsd), (None, plain.replace("nor the names of its contributors", "nor any others")), (None, plain.replace("1. ", "2. "))]
     rows.append((None, "MIT License"))
     rows.append((None, mit + mit))
     rows.append((None, "Copyright (c) 2020 X"))
