@@ -100,11 +100,19 @@ def suffix_rows(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(place), pa.array(a.view(np.int64)), pa.array(u.view(np.int64))], ["text_id", "place", "a", "u"])
 
 
+def after(prepare, function):
+    """The function on what prepare() makes of the batches, in one Python worker instead of two at a time."""
+    return function if prepare is None else lambda batches: function(prepare(batches))
+
+
 class SuffixFamily:
-    """Levels of sparse suffix arrays in the shared folder, each of a size in batches that is a power of two."""
+    """Levels of sparse suffix arrays in the shared folder, each of a size in batches that is a power of two.
+
+    prepare: turns batches of texts into batches of what is indexed, such as digests of the words.
+    """
 
-    def __init__(self, spark: SparkSession, length: int = LENGTH) -> None:
-        self.spark, self.length = spark, length
+    def __init__(self, spark: SparkSession, length: int = LENGTH, prepare=None) -> None:
+        self.spark, self.length, self.prepare = spark, length, prepare
         self.levels: list[tuple[int, DataFrame]] = []
         self.matches: list[DataFrame] = []
 
@@ -122,7 +130,7 @@ class SuffixFamily:
 
     def add(self, texts: DataFrame) -> None:
         """Index a batch of (text_id, text), note its matches with itself and all levels, and merge equal levels."""
-        size, rows = 1, self._array(texts.select("text_id", "text").mapInArrow(released(partial(suffix_rows, length=self.length)), "text_id long, place long, a long, u long"))
+        size, rows = 1, self._array(texts.select("text_id", "text").mapInArrow(released(after(self.prepare, partial(suffix_rows, length=self.length))), "text_id long, place long, a long, u long"))
         self.matches.append(materialise(self.scan(rows), "matches"))
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
@@ -289,11 +297,14 @@ def distinct_texts(docs: DataFrame, text: str, least: int = LENGTH) -> DataFrame
     return materialise(rows.withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
 
-def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGTH) -> DataFrame:
-    """(text_id, start, stop): a table of spans that cover the bytes to remove, in any order and overlapping."""
+def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGTH, prepare=None) -> DataFrame:
+    """(text_id, start, stop): a table of spans that cover the bytes to remove, in any order and overlapping.
+
+    With prepare() the bytes are those that it makes of the texts.
+    """
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    family = SuffixFamily(spark, length)
+    family = SuffixFamily(spark, length, prepare)
     for i in range(batches):
         family.add(texts.filter(F.pmod(F.xxhash64("sha"), F.lit(batches)) == i))
     rows = materialise(family.candidates(), "candidates")
@@ -312,13 +323,16 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGT
 
     def cut(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("text_id").agg(F.collect_list(F.struct("a", "place", "alone")).alias("wanted"))
-        return texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(released(partial(stretches, length=length)), "a long, text_id long, place long, alone boolean, bytes binary")
+        return texts.select("text_id", "text").join(wanted, "text_id").mapInArrow(released(after(prepare, partial(stretches, length=length))), "a long, text_id long, place long, alone boolean, bytes binary")
 
     small = cut(ones.filter(F.col("nu") <= GROUP)).repartition(n, "a").sortWithinPartitions("a")
     ends = small.mapInArrow(released(partial(repeated_strings, length=length)), "text_id long, start long, stop long")
     if not mixed.filter(F.col("nu") > GROUP).isEmpty():
         ends = ends.unionByName(large_groups(cut(ones.filter(F.col("nu") > GROUP)), length))
-    copies = texts.filter("copies > 1").select("text_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))
+    copies = texts.filter("copies > 1").select("text_id", "text")
+    if prepare is not None:
+        copies = copies.mapInArrow(released(prepare), "text_id long, text binary").filter(F.octet_length("text") >= length)
+    copies = copies.select("text_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))
     spans = materialise(sure.unionByName(ends).unionByName(copies), "spans")
     for done in (rows, pairs, mixed, ones, *family.matches):
         delete_table(done)
@@ -402,9 +416,8 @@ def without_passages(docs: DataFrame, text: str = "text", batches: int = BATCHES
     """(sha, kept_text) of the texts that lose passages of WORDS words or more which also start elsewhere."""
     arrow_limits(docs.sparkSession)
     texts = distinct_texts(docs, text, 2 * WORDS - 1)
-    # Computed where it is read: as large as the texts and not to be compressed, it would cost more on disk.
-    digests = texts.mapInArrow(released(word_digests), "sha string, text binary, copies long, text_id long").filter(F.octet_length("text") >= WORDS * WORD)
-    spans = repeated_spans(digests, batches, WORDS * WORD).groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # The digests are computed where they are read: as large as the texts and not to be compressed, they would cost more on disk.
+    spans = repeated_spans(texts, batches, WORDS * WORD, word_digests).groupBy("text_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.select("text_id", "sha", "text").join(spans, "text_id").select("sha", "text", "spans").mapInArrow(released(cut_words), "sha string, kept_text string")
 
 
