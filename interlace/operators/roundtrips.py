@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from interlace.functions import text as X
 from interlace.operators.ingest import COMPLEXITY, DEFAULT_COMPLEXITY, ask, create_tables
 from interlace.plans.model import WITH, flagged, match_rows
 from interlace.plans.registry import read, register
 from interlace.sources import sinks, store
+from interlace.sources.xlsx import XlsxDataSource
 from interlace.streaming.windows import stream_dir
 
 _COLOUR = "CASE match_result " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.COLOURS.items()) + " ELSE 'FFFFFF' END"
@@ -116,3 +118,37 @@ def stored_upgrades(spark: SparkSession, sf: str) -> DataFrame:
         store.upsert(better, path, ["sheet_name", "row_number", "part_number", "skp_part_number"], "sheet_name")
     stored = spark.read.schema(rows.schema).parquet(path)
     return stored.groupBy("sheet_name", "match_result").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
+
+
+_BOOK = ("part_type", "supplier", "part_number", "skp_part_number", "match_result", "confidence", "match_reason", "checked")
+
+
+def from_workbooks(spark: SparkSession, sf: str) -> DataFrame:
+    """The match rows, written as workbooks with a sheet for each sheet name and typed as they are read back: an empty verdict stays
+    empty, a missing confidence is null, times become timestamps. The rows of a sheet may be a third of all, so a sheet is written by several tasks."""
+    spark.dataSource.register(XlsxDataSource)
+    path = stream_dir(spark)
+    rows = match_rows(spark, sf).withColumn("checked", F.date_format(F.col("last_checked").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).select("sheet_name", *_BOOK)
+    rows.sortWithinPartitions("sheet_name").write.format("xlsx").mode("append").save(path)
+    cells = spark.read.format("xlsx").option("columns", len(_BOOK)).load(path).withColumnsRenamed({f"c{i + 1}": c for i, c in enumerate(_BOOK)})
+    return cells.withColumns({"confidence": X.parse_confidence(F.col("confidence")), "checked": X.parse_time(F.col("checked")).cast("timestamp_ntz")})
+
+
+@register("workbook_rows", WITH + f"SELECT sheet_name, {', '.join(c for c in _BOOK[:-1] if c != 'match_reason')}, CAST(last_checked AS TIMESTAMP) AS checked FROM m WHERE match_result = 'UNCERTAIN'")
+def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The uncertain rows of the workbooks, typed."""
+    return from_workbooks(spark, sf).filter("match_result = 'UNCERTAIN'").drop("row_number", "match_reason")
+
+
+@register("workbook_quality", WITH + "SELECT sheet_name, count(*) AS n, CAST(count_if(match_result IN ('YES', 'LIKELY', 'UNCERTAIN', 'NO')) AS BIGINT) AS processed, count(confidence) AS with_confidence, CAST(sum(confidence) AS BIGINT) AS confidence, count(DISTINCT part_number) AS parts, CAST(count_if(match_reason <> '') AS BIGINT) AS with_reason, CAST(max(last_checked) AS TIMESTAMP) AS last_checked FROM m GROUP BY sheet_name")
+def workbook_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """What the quality report needs of each sheet of the workbooks."""
+    return from_workbooks(spark, sf).groupBy("sheet_name").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("match_result").isin("YES", "LIKELY", "UNCERTAIN", "NO")).alias("processed"),
+        F.count("confidence").alias("with_confidence"),
+        F.sum("confidence").cast("long").alias("confidence"),
+        F.count_distinct("part_number").alias("parts"),
+        F.count_if(F.col("match_reason") != "").alias("with_reason"),
+        F.max("checked").alias("last_checked"),
+    )

@@ -1,21 +1,34 @@
-"""Workbooks as a Spark source: one partition for each sheet, rows as strings, read with the standard library.
+"""Workbooks as a Spark source and sink: one task for each sheet, rows as strings, with the standard library.
 
     spark.dataSource.register(XlsxDataSource)
     spark.read.format("xlsx").option("columns", 16).load("workbook.xlsx")
+    df.write.format("xlsx").mode("append").save("folder")     # a column sheet_name, and any others as cells
 
-Columns: sheet_name, row_number, c1..cN. A missing cell is null; rows before `first_row` are left out. Workbooks are small
-by their format (a million rows in a sheet), so a sheet is one task; the file is read by the executors from its path.
+Read: columns sheet_name, row_number, c1..cN of a workbook, or of all workbooks in a folder. A missing cell is null; rows
+before `first_row` are left out. Workbooks are small by their format (a million rows in a sheet), so a sheet is one task;
+executors read the file from its path, on any store that Arrow's file systems reach.
+
+Written: a folder of workbooks. A task writes its rows as they come and begins another workbook when one is full
+(`rows` rows) or a sheet comes back, so rows sorted by sheet_name make the fewest. A workbook gets its name when the whole
+job has succeeded; those of failed or repeated tasks are deleted. Numbers, times and truth values are written as text.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+#: Rows of one written workbook; the format allows 1,048,576 in a sheet.
+ROWS = 250_000
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -45,14 +58,41 @@ def shared_strings(book: zipfile.ZipFile) -> list[str]:
 
 def cell_text(cell, strings: list[str]) -> str | None:
     if cell.get("t") == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
+        return unescaped("".join(t.text or "" for t in cell.iter(f"{_NS}t")))
     value = cell.findtext(f"{_NS}v")
-    return strings[int(value)] if cell.get("t") == "s" and value is not None else value
+    return unescaped(strings[int(value)]) if cell.get("t") == "s" and value is not None else value
+
+
+#: Signs that XML can't hold or would change, and texts that look like their escapes.
+_ODD = re.compile("[\x00-\x08\x0b-\x1f\ud800-\udfff\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
+
+def escaped(text: str) -> str:
+    """The text with such signs as _xHHHH_, the format's own escape."""
+    return escape(_ODD.sub(lambda m: f"_x{ord(m[0]):04X}_", text))
+
+
+def unescaped(text: str) -> str:
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
+
+
+def column_name(index: int) -> str:
+    """The letters of a zero-based column, such as 'AB' for 27."""
+    name, n = "", index + 1
+    while n:
+        n, letter = divmod(n - 1, 26)
+        name = chr(65 + letter) + name
+    return name
+
+
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path in it; Spark writes local addresses as file:/x too."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
 
 
 class Sheet(InputPartition):
-    def __init__(self, name: str, member: str) -> None:
-        self.name, self.member = name, member
+    def __init__(self, path: str, name: str, member: str) -> None:
+        self.path, self.name, self.member = path, name, member
 
 
 class XlsxReader(DataSourceReader):
@@ -61,11 +101,19 @@ class XlsxReader(DataSourceReader):
         self.sheet = options.get("sheet")
 
     def partitions(self) -> list[Sheet]:
-        with zipfile.ZipFile(self.path) as book:
-            return [Sheet(n, m) for n, m in sheets_of(book).items() if self.sheet in (None, n)]
+        store, path = located(self.path)
+        books = [path]
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            books = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name.endswith(".xlsx") and f.base_name[0] not in "._")
+        found = []
+        for at in books:
+            with store.open_input_file(at) as file, zipfile.ZipFile(file) as book:
+                found += [Sheet(at, n, m) for n, m in sheets_of(book).items() if self.sheet in (None, n)]
+        return found
 
     def read(self, partition: Sheet) -> Iterator[tuple]:
-        with zipfile.ZipFile(self.path) as book:
+        store, _ = located(self.path)
+        with store.open_input_file(partition.path) as file, zipfile.ZipFile(file) as book:
             strings = shared_strings(book)
             with book.open(partition.member) as member:
                 number = 0
@@ -83,8 +131,112 @@ class XlsxReader(DataSourceReader):
                         yield (partition.name, number, *cells)
 
 
+class Book:
+    """A workbook that is written row by row to a file; each sheet has the names of the columns in its first row."""
+
+    _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+    _KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+    def __init__(self, file, columns: list[str]) -> None:
+        self.file, self.columns = file, columns
+        self.zip = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED)
+        self.sheets: list[str] = []
+        self.member, self.at, self.rows = None, 0, 0
+
+    def row(self, values) -> None:
+        self.at += 1
+        cells = "".join(f'<c r="{column_name(i)}{self.at}" t="inlineStr"><is><t xml:space="preserve">{escaped(v)}</t></is></c>' for i, v in enumerate(values) if v is not None)
+        self.member.write(f'<row r="{self.at}">{cells}</row>'.encode())
+
+    def open_sheet(self, name: str) -> None:
+        if not 0 < len(name) <= 31 or re.search(r"[\[\]:*?/\\]", name):
+            raise ValueError(f"{name!r} can't name a sheet")
+        self.close_sheet()
+        self.sheets.append(name)
+        self.member, self.at = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w", force_zip64=True), 0
+        self.member.write(f"<worksheet {self._MAIN}><sheetData>".encode())
+        self.row(self.columns)
+
+    def close_sheet(self) -> None:
+        if self.member is not None:
+            self.member.write(b"</sheetData></worksheet>")
+            self.member.close()
+            self.member = None
+
+    def put(self, sheet: str, values) -> None:
+        if not self.sheets or self.sheets[-1] != sheet:
+            self.open_sheet(sheet)
+        self.row(values)
+        self.rows += 1
+
+    def close(self) -> None:
+        self.close_sheet()
+        numbers = range(1, len(self.sheets) + 1)
+        sheets = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(numbers, self.sheets))
+        links = "".join(f'<Relationship Id="rId{i}" Type="{self._OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers)
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{self._KIND}.worksheet+xml"/>' for i in numbers)
+        self.zip.writestr("xl/workbook.xml", f'<workbook {self._MAIN} xmlns:r="{self._OFFICE}"><sheets>{sheets}</sheets></workbook>')
+        self.zip.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{self._PACKAGE}/relationships">{links}</Relationships>')
+        self.zip.writestr("_rels/.rels", f'<Relationships xmlns="{self._PACKAGE}/relationships"><Relationship Id="rId1" Type="{self._OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        self.zip.writestr("[Content_Types].xml", f'<Types xmlns="{self._PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{self._KIND}.sheet.main+xml"/>{parts}</Types>')
+        self.zip.close()
+        self.file.close()
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+
+class XlsxWriter(DataSourceWriter):
+    def __init__(self, options, schema: StructType, overwrite: bool) -> None:
+        self.path, self.most, self.overwrite = options["path"], int(options.get("rows", ROWS)), overwrite
+        self.columns = [n for n in schema.names if n != "sheet_name"]
+        if "sheet_name" not in schema.names:
+            raise ValueError("the rows need a column sheet_name")
+        self.job = uuid.uuid4().hex
+
+    def write(self, iterator) -> Written:
+        store, path = located(self.path)
+        store.create_dir(path, recursive=True)
+        names: list[str] = []
+        book = None
+        for row in iterator:
+            sheet = row["sheet_name"]
+            if book is None or book.rows >= self.most or sheet in book.sheets[:-1]:
+                if book is not None:
+                    book.close()
+                names.append(f".{self.job}-{uuid.uuid4().hex}.xlsx")
+                book = Book(store.open_output_stream(f"{path}/{names[-1]}"), self.columns)
+            book.put(sheet, [None if row[c] is None else str(row[c]) for c in self.columns])
+        if book is not None:
+            book.close()
+        return Written(names)
+
+    def commit(self, messages) -> None:
+        """Name what the successful tasks wrote; with mode overwrite earlier workbooks go first."""
+        store, path = located(self.path)
+        store.create_dir(path, recursive=True)
+        if self.overwrite:
+            self.clear(lambda name: name.endswith(".xlsx") and name[0] not in "._")
+        for name in (n for m in messages if m is not None for n in m.names):
+            store.move(f"{path}/{name}", f"{path}/{name[1:]}")
+        self.clear(lambda name: name.startswith(f".{self.job}"))
+
+    def abort(self, messages) -> None:
+        self.clear(lambda name: name.startswith(f".{self.job}"))
+
+    def clear(self, which) -> None:
+        store, path = located(self.path)
+        for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if f.is_file and which(f.base_name):
+                store.delete_file(f.path)
+
+
 class XlsxDataSource(DataSource):
-    """Workbook source; options: path, columns, first_row, sheet."""
+    """Workbook source and sink; options: path, columns, first_row, sheet; rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,3 +248,6 @@ class XlsxDataSource(DataSource):
 
     def reader(self, schema: StructType) -> XlsxReader:
         return XlsxReader(self.options)
+
+    def writer(self, schema: StructType, overwrite: bool) -> XlsxWriter:
+        return XlsxWriter(self.options, schema, overwrite)

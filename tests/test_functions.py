@@ -108,6 +108,29 @@ def test_workbook_source(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("Anchor", 2, "ENGINE MOUNT", "ANCHOR", None, "50")]
 
 
+def test_workbook_sink(spark, tmp_path):
+    """Odd signs, nulls, empty cells, a full workbook, a sheet that comes back, mode overwrite, a bad sheet name."""
+    spark.dataSource.register(XlsxDataSource)
+    odd = ["a", None, "", " <&> \"' ", "x\r\ny\t\u0001", "_x0041_", "ünï 🎯", "_x_", "7"]
+    rows = [("A " if i % 20 < 12 else "B", v, str(i)) for i, v in enumerate(odd * 10)]
+    df = spark.createDataFrame(rows, "sheet_name string, v string, n string").coalesce(1)
+    path = f"{tmp_path}/books"
+    key = lambda r: (r[0], int(r[2]))
+    read = lambda: sorted(((r.sheet_name, r.c1, r.c2) for r in spark.read.format("xlsx").option("columns", 2).load(path).collect()), key=key)
+    df.write.format("xlsx").mode("append").option("rows", 25).save(path)
+    assert read() == sorted(rows, key=key)
+    assert len(list((tmp_path / "books").glob("*.xlsx"))) >= 4 and not list((tmp_path / "books").glob(".*.xlsx"))
+    df.repartition(3).limit(5).write.format("xlsx").mode("append").save(path)
+    assert len(read()) == 95
+    df.sortWithinPartitions("sheet_name").write.format("xlsx").mode("overwrite").save(f"file:{path}")
+    assert read() == sorted(rows, key=key) and len(list((tmp_path / "books").glob("*.xlsx"))) == 1
+    with pytest.raises(Exception, match="can't name a sheet"):
+        spark.sql("SELECT 'a/b' AS sheet_name, 'x' AS v, 'y' AS n").write.format("xlsx").mode("append").save(path)
+    assert read() == sorted(rows, key=key)
+    df.filter("false").write.format("xlsx").mode("overwrite").save(path)
+    assert not list((tmp_path / "books").glob("*.xlsx"))
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.sql("SELECT 'A' sheet_name, 'YES' match_result, timestamp_ntz'2024-01-02 03:04:05' last_checked UNION ALL SELECT 'B', NULL, NULL")
     sinks.write_results(rows, f"{tmp_path}/results")
