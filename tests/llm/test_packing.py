@@ -108,3 +108,31 @@ def test_topics_part_vocabularies():
     pure = sum(max(map(kinds.count, range(4))) for kinds in by.values())
     assert pure >= 190 and len(by) >= 4
     assert packing.Topics(np.empty((0, packing.TOPIC_DIMENSIONS), np.float32)).of(vectors[0]) == 0
+
+
+def test_query_packs_whole_tables(spark):
+    """The query's own rows: every id once, gapless pieces and sequences, full or of a power of two; against ids of the tokenizer."""
+    sf = "/root/testdata/sf0.001"
+    rows = packing.query(spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    tokenizer, sequences, by = Tokenizer.from_file(WORD), {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(by) == set(texts)
+    for key, parts in by.items():
+        ids = np.array([*tokenizer.encode(texts[key], add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    sizes = []
+    for pieces in sequences.values():
+        end = 0
+        for offset, n in sorted(pieces):
+            assert offset == end
+            end += n
+        sizes.append(end)
+    assert all(n == packing.WINDOW or n < packing.WINDOW and n & (n - 1) == 0 for n in sizes)
