@@ -73,7 +73,7 @@ def escaped(text: str) -> str:
 
 
 def unescaped(text: str) -> str:
-    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
 
 
 def column_name(index: int) -> str:
@@ -117,7 +117,13 @@ class XlsxReader(DataSourceReader):
             strings = shared_strings(book)
             with book.open(partition.member) as member:
                 number = 0
-                for _, row in ElementTree.iterparse(member):
+                rows = ElementTree.iterparse(member, ("start", "end"))
+                above: list = []  # the open elements; a row that was read is taken out of the one above it
+                for event, row in rows:
+                    if event == "start":
+                        above.append(row)
+                        continue
+                    above.pop()
                     if row.tag != f"{_NS}row":
                         continue
                     number = int(row.get("r", number + 1))
@@ -126,7 +132,7 @@ class XlsxReader(DataSourceReader):
                         at = column_index(cell.get("r")) if cell.get("r") else place
                         if at < self.width:
                             cells[at] = cell_text(cell, strings)
-                    row.clear()
+                    above[-1].remove(row)
                     if number >= self.first:
                         yield (partition.name, number, *cells)
 
@@ -141,13 +147,14 @@ class Book:
 
     def __init__(self, file, columns: list[str]) -> None:
         self.file, self.columns = file, columns
+        self.letters = [column_name(i) for i in range(len(columns))]
         self.zip = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED)
         self.sheets: list[str] = []
         self.member, self.at, self.rows = None, 0, 0
 
     def row(self, values) -> None:
         self.at += 1
-        cells = "".join(f'<c r="{column_name(i)}{self.at}" t="inlineStr"><is><t xml:space="preserve">{escaped(v)}</t></is></c>' for i, v in enumerate(values) if v is not None)
+        cells = "".join(f'<c r="{a}{self.at}" t="inlineStr"><is><t xml:space="preserve">{escaped(v)}</t></is></c>' for a, v in zip(self.letters, values) if v is not None)
         self.member.write(f'<row r="{self.at}">{cells}</row>'.encode())
 
     def open_sheet(self, name: str) -> None:
