@@ -125,6 +125,43 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
+#: Texts up to this length are matched by plain searches; beyond it difflib's index of characters is the faster way.
+SHORT = 32
+
+
+def matching(a: str, b: str) -> int:
+    """The characters in the matching blocks of two short texts, as difflib finds them: the longest block, the first in a and then
+    in b among equals, and so on to its left and right. Several times as fast as difflib's general way for some ten characters."""
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        for size in range(min(ahi - alo, bhi - blo), 0, -1):
+            for i in range(alo, ahi - size + 1):
+                if (j := b.find(a[i : i + size], blo, bhi)) >= 0:
+                    break
+            else:
+                continue
+            total += size
+            todo += ((alo, i, blo, j), (i + size, ahi, j + size, bhi))
+            break
+    return total
+
+
+def greater_ratio(a: str, b: str) -> float:
+    """The greater ratio of two different texts over both orders; the second is left out where the first has all that can match."""
+    if max(len(a), len(b)) > SHORT:
+        return max(difflib.SequenceMatcher(None, x, y).ratio() for x, y in ((a, b), (b, a)))
+    most = min(len(a), len(b)) - (len(a) == len(b))
+    got = matching(a, b)
+    return 2.0 * (got if got >= most else max(got, matching(b, a))) / (len(a) + len(b))
+
+
+@F.pandas_udf(T.DoubleType())
+def either_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The greater of the ratios of different texts in both orders."""
+    return pd.Series([greater_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def _plain(text: str) -> str:
     """Compatibility forms resolved, known signs spelled out, what cp1252 lacks dropped, white space collapsed."""
     text = unicodedata.normalize("NFKD", text)

@@ -43,12 +43,12 @@ def deletions(text: Column, times: int) -> Column:
 
 
 def short_keys(refs: DataFrame) -> DataFrame:
-    """(key, side, ref) for short strings: for each length that a similar string may have, what deletions leave."""
+    """(key, side, ref) for short strings: for each length that a similar string may have and that occurs, what deletions leave."""
     least = [min(m for m in range(1, n + 1) if 2 * m >= RATIO * (n + m)) for n in range(1, SHORT + 1)]
     size, most = F.length("ref"), SHORT - math.ceil(RATIO / 2 * (SHORT + least[-1]))
     rows = refs.filter(size.between(1, SHORT)).withColumn("size", size)
-    other = F.sequence(F.lit(1), F.lit(SHORT))
-    rows = rows.withColumn("other", F.explode(F.filter(other, lambda m: matched(F.col("size"), m) <= F.least("size", m))))
+    lengths = rows.agg(F.collect_set("size").alias("lengths"))  # one row, SHORT lengths at most
+    rows = rows.join(F.broadcast(lengths)).withColumn("other", F.explode(F.filter("lengths", lambda m: matched(F.col("size"), m) <= F.least("size", m))))
     spare = F.col("size") - matched(F.col("size"), F.col("other"))
     left = reduce(lambda c, n: c.when(spare == n, deletions(F.col("ref"), n)), range(1, most + 1), F.when(spare == 0, deletions(F.col("ref"), 0)))
     key = F.concat_ws(" ", F.least("size", "other"), F.greatest("size", "other"), F.col("rest"))
@@ -87,16 +87,19 @@ def long_keys(refs: DataFrame) -> DataFrame:
 
 def meeting(rows: DataFrame) -> DataFrame:
     """Pairs (a, b, keys: how many they share) of different refs with one key and opposite sides (or both 0), a before b. A key of more than BLOCK rows is divided
-    in blocks by hash, and each pair of its blocks is a key of its own, so no task compares more than two blocks."""
+    in blocks by hash, and each pair of its blocks is a key of its own, so no task compares more than two blocks.
+
+    The joins are by shuffle in any case: a row has many keys and a key many pairs, which the estimates before a run know nothing
+    of, and by these all keys would be broadcast through the driver."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    rows = rows.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int"))
+    rows = rows.join(sizes.hint("merge"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     rows = rows.select("key", *cell, "own", "side", "ref")
     side = lambda name: rows.select("key", "low", "high", F.col("own").alias(f"{name}_own"), F.col("side").alias(f"{name}_side"), F.col("ref").alias(name))
     # In the cell of two blocks only pairs across them count; pairs inside a block belong to its own cell.
     across = (F.col("low") == F.col("high")) | (F.col("a_own") != F.col("b_own"))
-    return side("a").join(side("b"), ["key", "low", "high"]).filter((F.col("a") < F.col("b")) & across & (F.col("a_side") == -F.col("b_side"))).groupBy("a", "b").agg(F.count("*").alias("keys"))
+    return side("a").join(side("b").hint("merge"), ["key", "low", "high"]).filter((F.col("a") < F.col("b")) & across & (F.col("a_side") == -F.col("b_side"))).groupBy("a", "b").agg(F.count("*").alias("keys"))
 
 
 def candidates(refs: DataFrame) -> DataFrame:
@@ -122,8 +125,7 @@ def similar(refs: DataFrame, ref: str = "ref") -> DataFrame:
     The ratio depends on the order in rare cases; the greater of both counts. Other columns are not read.
     """
     distinct = refs.select(F.col(ref).alias("ref")).filter(F.length("ref") > 0).distinct()
-    ratio = F.greatest(X.sequence_ratio("a", "b"), X.sequence_ratio("b", "a"))
-    return candidates(distinct).withColumn("ratio", once(ratio)).filter(F.col("ratio") >= RATIO).drop("keys")
+    return candidates(distinct).withColumn("ratio", once(X.either_ratio("a", "b"))).filter(F.col("ratio") >= RATIO).drop("keys")
 
 
 def linked(refs: DataFrame, ref: str = "ref") -> DataFrame:
@@ -174,4 +176,4 @@ def reference_links(spark: SparkSession, sf: str) -> DataFrame:
     refs = part_references(spark, sf)
     parts = refs.groupBy("ref").agg(F.count("*").alias("parts"))
     side = lambda name: parts.toDF(name, f"{name}_parts")
-    return linked(refs).join(side("a"), "a").join(side("b"), "b").select("a", "b", "score", "a_parts", "b_parts")
+    return linked(refs).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "score", "a_parts", "b_parts")

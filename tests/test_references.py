@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from interlace.functions import text as X
 from interlace.operators import references as R
 
 
@@ -71,3 +72,27 @@ def test_parts_equal_all_pairs(spark):
     sf = "/root/testdata/sf0.001"
     want = set(all_pairs([r.ref for r in R.part_references(spark, sf).collect()]))
     assert {(r.a, r.b) for r in R.similar(R.part_references(spark, sf)).collect()} == want
+
+
+def test_matching_is_difflibs():
+    """The plain search finds the blocks that difflib finds, also where a longer block lies aside."""
+    rng = random.Random(3)
+    for letters in ("AB", "AB01", "0123456789"):
+        for _ in range(2000):
+            a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 20)))
+            b = changed(a, rng, rng.randint(1, 4), letters)
+            assert X.matching(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+            assert a == b or X.greater_ratio(a, b) == ratio(a, b)
+    assert X.greater_ratio("x" * 3000, "x" * 2999 + "y") == ratio("x" * 3000, "x" * 2999 + "y")
+
+
+def test_keys_are_never_broadcast(spark):
+    """By the estimates, which know nothing of how many keys a row has, all of them went through the driver (its memory ended at ten times sf0.1)."""
+    plan = R.reference_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "HashedRelationBroadcastMode" not in plan
+
+
+def test_only_lengths_that_occur_have_keys(spark):
+    """Of strings of nine and ten characters, none is cut down for eight or eleven."""
+    keys = R.short_keys(spark.createDataFrame([("7B0199279A",), ("7B0199279",)], "ref string")).select("key").collect()
+    assert {r.key.rsplit(" ", 1)[0] for r in keys} == {"9 9", "9 10", "10 10"}
