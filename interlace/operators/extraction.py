@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 
 from interlace.functions import text as X
 from interlace.plans.model import WITH, match_rows
-from interlace.plans.registry import read, register
+from interlace.plans.registry import bounded_batches, read, register
 
 
 @register("page_fields", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS INT) AS paragraphs, regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) AS host FROM pages")
@@ -134,6 +134,7 @@ def _sign(key: str) -> Column:
 @register("plain_documents", rf"SELECT doc_id, trim(regexp_replace(strip_accents(text) || ' ' || ({_PLAIN_SQL})[doc_id % {len(SIGNS)} + 1], '\s+', ' ', 'g')) AS plain FROM documents")
 def plain_documents(spark: SparkSession, sf: str) -> DataFrame:
     """C15 over all documents, each with one of the pieces at its end."""
+    bounded_batches(spark)
     return read(spark, sf, "documents").select("doc_id", X.plain_text(F.concat_ws(" ", F.coalesce("text", F.lit("")), _sign("doc_id"))).alias("plain"))
 
 
