@@ -41,6 +41,7 @@ def upsert(updates: DataFrame, path: str, keys: list[str], partition: str, newes
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    kept = old.join(touched, F.col(partition).eqNullSafe(F.col("__partition")), "left_semi").join(named, same, "left_anti")
+    # Partitions are few, so all rows stay where they were read: a shuffle by the partition would put each of them whole into one task.
+    kept = old.join(F.broadcast(touched), F.col(partition).eqNullSafe(F.col("__partition")), "left_semi").join(named, same, "left_anti")
     rows = kept.unionByName(updates)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

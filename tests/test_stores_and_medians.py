@@ -59,3 +59,18 @@ def test_medians_equal_a_sort(spark, monkeypatch, limit, ranges):
     got = {r.g: r.median for r in M.medians(frame, "g", "v").collect()}
     assert got == pytest.approx({g: statistics.median(x for x in vs if x is not None) for g, vs in groups.items()})
     assert M.medians(frame.limit(0), "g", "v").count() == 0
+
+
+def test_no_task_gets_a_whole_partition(spark, tmp_path, monkeypatch):
+    """The touched partitions are broadcast; before, the store's rows were shuffled by partition, each into one task."""
+    from pyspark.sql import functions as F
+
+    from interlace.sources import store as S
+
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(S.F, "broadcast", lambda df: seen.append(df.columns) or broadcast(df))
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), (None, 3, 3)], "p string, k int, v int")
+    S.create(rows, f"{tmp_path}/s", "p")
+    S.upsert(rows.withColumn("v", F.lit(9)).filter("k <> 1"), f"{tmp_path}/s", ["p", "k"], "p")
+    assert seen == [["__partition"]]
+    assert sorted((r.k, r.v) for r in spark.read.schema(rows.schema).parquet(f"{tmp_path}/s").collect()) == [(1, 1), (2, 9), (3, 9)]
