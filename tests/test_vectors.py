@@ -38,3 +38,16 @@ def test_blocks_copies_and_odd_vectors(spark, monkeypatch):
     distinct = rows[:201] + rows[300:]
     assert got == exact(distinct, [r for r in rows if r[0] % 50 == 0], 5)
     assert V.nearest(frame.limit(0), asked).count() == 0 and V.nearest(frame, asked.limit(0)).count() == 0
+
+
+def test_queries_are_dealt_to_tasks(spark, monkeypatch):
+    """Parts of the queries of any size, and a few similarities at a time, give the same (a task held those of all queries at once)."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(V, "ASKED", 7)
+    monkeypatch.setattr(V, "HELD", 30)
+    got = {}
+    for r in V.nearest(frame, frame.filter("vec_id % 3 = 0"), k=4, recall=None).orderBy("vec_id", "place").collect():
+        got.setdefault(r.vec_id, []).append((r.neighbour, r.similarity))
+    assert got == exact(rows, [r for r in rows if r[0] % 3 == 0], 4)
