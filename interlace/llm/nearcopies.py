@@ -8,13 +8,14 @@ each (a fifth of the set at 0.8), so texts are compared where these prefixes mee
 is right; shingles that many texts share come last in it, so that a passage of a third of all texts makes no candidates.
 
 Candidates that a count of shingles by hash ranges cannot rule out are compared by their whole sets. First each text is
-compared with the least of those that it meets at a shingle; what this joins need not be compared pair by pair, so dense
-groups cost about one comparison a text and shingle.
+compared with the least of those that it meets at a shingle, then, where many texts meet, with a few that have the most
+links so far; what this joins need not be compared pair by pair, so a dense group costs a few comparisons a text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ SAMPLE, COMMON, MOST = 8, 12, 200_000
 BLOCK = 2000
 #: Texts that a text is compared with before the rest: the first ones at the shingles that it shares with them.
 FIRSTS = 3
+#: Shingles of more texts than LARGE, where texts are compared with the HUBS of most links first, in TURNS turns
+#: at most, or until fewer than one comparison in FEW finds a near copy.
+LARGE, HUBS, TURNS, FEW = 32, 6, 3, 20
 #: Hash ranges in which the shingles of a text are counted.
 RANGES = 256
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -231,6 +235,41 @@ def linked_prints(nodes: DataFrame) -> DataFrame:
     return same.union(links.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
 
 
+def rooted(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (shingle, x, root) with the least node that links join each with, and of the shingles where more than one root is left
+    (shingle, n, blocks, main): its rows, their blocks, and the root of its least text."""
+    roots = components(links, "node")
+    rows = met.join(roots.withColumnRenamed("node", "__node"), F.col("x.node") == F.col("__node"), "left").select("shingle", "x", F.coalesce("root", "x.node").alias("root"))
+    rows = materialise(rows, "rooted")
+    delete_table(roots)
+    apart = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("x", "root")).alias("first")).filter("r0 <> r1")
+    return rows, materialise(apart.select("shingle", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("first.root").alias("main")), "apart")
+
+
+def hub_pairs(rows: DataFrame, apart: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """(a, b): texts at shingles of many texts, each with HUBS of other roots at most.
+
+    Hubs are the texts with the most links so far, one of each of HUBS parts of the texts at a shingle; parts change by the turn.
+    What has a near copy in a dense group has one among its hubs more likely than elsewhere, so few texts are left to be held
+    against all others.
+    """
+    total = rows.count()
+    ends = links.select(F.col("a").alias("__node")).union(links.select("b")).groupBy("__node").agg(F.count("*").alias("links"))
+    rows = split_join(rows, apart.filter(F.col("n") > LARGE).select("shingle", "n"), ["shingle"], total, ["x.node"])
+    rows = rows.join(ends, F.col("x.node") == F.col("__node"), "left").select("shingle", "x", "root", F.coalesce("links", F.lit(0)).alias("links"))
+    rows = materialise(rows, "large")
+    part = F.pmod(F.xxhash64("x.node", F.lit(turn)), F.lit(HUBS)).alias("part")
+    hubs = rows.groupBy("shingle", part).agg(F.max(F.struct("links", "x", "root")).alias("hub"), F.count("*").alias("n"))
+    hubs = hubs.groupBy("shingle").agg(F.sum("n").alias("n"), F.collect_list("hub").alias("hubs"))
+    pairs = split_join(rows, hubs, ["shingle"], total, ["x.node"]).select("x", "root", F.explode(F.filter("hubs", lambda hub: hub["root"] != F.col("root"))).alias("hub"))
+    pairs = pairs.filter(may_reach("x", "hub.x"))
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("hub.x.node").alias("b")).agg(F.count("*").alias("n"), F.max("hub.links").alias("links"))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), F.desc("links"), "b"))
+    pairs = materialise(pairs.withColumn("best", best).filter(F.col("best") <= HUBS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "hubs")
+    delete_table(rows)
+    return pairs
+
+
 def near_pairs(nodes: DataFrame, texts: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
     """(a, b): pairs of near copies that join all of them; nodes is (node, n, fp, counts, prefix, hash), each node once."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -247,26 +286,37 @@ def near_pairs(nodes: DataFrame, texts: DataFrame, common: np.ndarray, times: np
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
     stars = stars.withColumn("best", best).filter(F.col("best") <= FIRSTS).select("a", "b")
     stars = materialise(stars.union(linked_prints(nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    links = verified(stars, nodes, texts)
-    roots = components(links, "node")
-    # What is left: texts that meet and that no chain of links joins yet, each pair of them once.
-    rows = met.select("shingle", x).join(roots.withColumnRenamed("node", "__node"), F.col("x.node") == F.col("__node"), "left").select("shingle", "x", F.coalesce("root", "x.node").alias("root"))
-    rows = rows_table = materialise(rows, "rooted")
+    links, tried = [verified(stars, nodes, texts)], [stars]
+    both = lambda tables: reduce(DataFrame.union, tables)
+    met_rows = met.select("shingle", x)
+    rows, apart = rooted(met_rows, links[0])
+    for turn in range(TURNS):
+        pairs = hub_pairs(rows, apart, both(links), turn)
+        tried.append(materialise(pairs.join(both(tried), ["a", "b"], "left_anti"), "stars"))
+        delete_table(pairs)
+        if not (compared := tried[-1].count()):
+            break
+        links.append(verified(tried[-1], nodes, texts))
+        if FEW * links[-1].count() < compared:  # a further turn would find little, and what was found is kept
+            break
+        for done in (rows, apart):
+            delete_table(done)
+        rows, apart = rooted(met_rows, both(links))
     delete_table(met)
-    apart = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("x", "root")).alias("first")).filter("r0 <> r1")
-    apart = materialise(apart.select("shingle", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("first.root").alias("main")), "apart")
+    # What is left: texts that meet and that no chain of links joins yet, each pair of them once.
+    rows_table = rows
     rows = split_join(rows, apart, ["shingle"], rows.count(), ["x.node"])
     # One of two texts of different roots is not of the root of the least text: only such ones are held against all others.
     left = rows.filter("root <> main").select("shingle", F.pmod(F.xxhash64("x.node"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("p"), F.col("root").alias("p_root"))
     right = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("q"), F.col("root").alias("q_root"), "main")
     once = (F.col("q_root") == F.col("main")) | (F.col("p.node") < F.col("q.node"))
     pairs = left.join(right, ["shingle", "block"]).filter(once & (F.col("p_root") != F.col("q_root")) & may_reach("p", "q"))
-    pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct().join(both(tried), ["a", "b"], "left_anti")
     pairs = materialise(pairs, "pairs")
-    more = verified(pairs, nodes, texts)
-    for done in (stars, rows_table, apart, pairs):
+    links.append(verified(pairs, nodes, texts))
+    for done in (*tried, rows_table, apart, pairs):
         delete_table(done)
-    return links.union(more)
+    return both(links)
 
 
 def copy_groups(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -57,6 +57,21 @@ def test_stage_keeps_one_of_each_group(spark, monkeypatch, sample, common, block
     assert sorted(r.doc_id for r in nearcopies.stage(spark, docs, "").collect()) == want
 
 
+def test_comparisons_of_a_dense_group_grow_with_its_texts(spark, monkeypatch):
+    """Texts of one base with up to three words changed: those with three have one near copy, the base, and were held against all others."""
+    rng, n, compared, verified = random.Random(3), 300, [], nearcopies.verified
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(5, 145), min(i, rng.choice((1, 2, 3)))):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, *others: compared.append(pairs.count()) or verified(pairs, *others))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.stage(spark, docs, "").collect()) == sorted(set(slow_groups(texts)))
+    assert sum(compared) < 50 * n, compared
+
+
 def test_rows_without_an_id_of_their_own_stay(spark):
     docs = documents(spark)
     extra = docs.filter("doc_id = 7").selectExpr("CAST(NULL AS LONG) AS doc_id", "'something else' AS text", *docs.columns[2:])
