@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from interlace.functions import markup as M
-from interlace.functions import text as X
+from interlace.functions.text import NOT_REFERENCES  # not the module: it holds UDFs, which can't travel to executors once used
 from interlace.plans.registry import bounded_batches, read, register
 
 # Where listings, headings of part types, other references, notes and warranties stand in a page.
@@ -55,7 +55,7 @@ def listings_of(html: str | None, base: str | None, brand: str | None, number: s
             continue
         price = re.search(r"\$(\d+\.\d{2})", text)
         words = re.findall(r"\b([A-Z0-9]{6,})\b", text.split("WARRANTY")[0] or text)
-        known = {brand, _squeezed(number), *NO_REFERENCES, *X.NOT_REFERENCES}
+        known = {brand, _squeezed(number), *NO_REFERENCES, *NOT_REFERENCES}
         references = [w for w in words if w not in known and len(w) <= 15][:MOST_REFERENCES]
         yield place, urljoin(base or "", link.attrs["href"]), _kind_above(link), price.group(0) if price else None, "POPULAR" in text, references
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from interlace.functions import markup as M
+from interlace.functions import text as X
 from interlace.operators import pages as P
 
 
@@ -56,3 +57,10 @@ def test_odd_pages(spark):
     details = {r.page_id: r.d for r in frame.select("page_id", P.page_details("html").alias("d")).collect()}
     assert details[5].specs == {} and details[6].warranty is None and details[5].others == []
     assert P.listings(frame.limit(0)).count() == 0
+
+
+def test_listings_after_a_text_function_was_used(spark):
+    """A used UDF holds on to the JVM and can't travel: the table function must not take the module of text functions along."""
+    frame = spark.createDataFrame([(1, "http://h/", "Acme", "X1", "<table><tr><td>ACME X1 <a href='moreinfo.php?1'>i</a>")], "page_id int, url string, brand string, number string, html string")
+    assert frame.select(X.plain_text("brand")).first()[0] == "Acme"
+    assert [r.listing_url for r in P.listings(frame).collect()] == ["http://h/moreinfo.php?1"]
