@@ -63,6 +63,23 @@ def test_a_passage_of_most_texts_is_split(spark, monkeypatch):
     assert [tuple(r[1:]) for r in rows] == brute(texts) and min(r.n_removed for r in rows) >= 400
 
 
+def test_query_shows_what_is_left(spark, monkeypatch, tmp_path):
+    """The texts left are those that brute force counts: a passage of 400 bytes goes, one of over 50 words and fewer bytes stays."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rng = random.Random(5)
+    words = lambda n, k: " ".join("".join(rng.choices("abcde", k=k)) for _ in range(n))
+    short, long = words(60, 5), words(67, 5)  # 359 and 401 bytes
+    texts = [words(30, 6) + sign + p + " " + words(30, 7) for p in (short, long) for sign in "é©"]  # signs with the same last byte
+    texts += ["copy " * 100] * 7 + ["clean " + words(80, 6), None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = suffixes.query(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in rows] == brute(texts)
+    assert [r.n_bytes - r.n_removed - len(r.text.encode()) for r in rows[:5]] == [0, 0, 1, 1, 0]  # the first byte of a cut sign is no text
+    assert all(r.kept_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows[:2] + rows[4:])
+    assert [short in r.text for r in rows[:2]] == [True, True] and not any(long in r.text or long[10:-10] in r.text for r in rows)
+    assert [r.text for r in rows[4:]] == [""] * 7 + [texts[11], "", ""]
+
+
 def test_small_pieces_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 333)
     texts = corpus()
